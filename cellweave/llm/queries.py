@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mcd_rules, pivotal_mix
+from . import mcd_rules, pivotal_mix, suffix_merge_dedup, tensor_minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +17,24 @@ def op3_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcd_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op4_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensor_minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op5_pivotal_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal_mix.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_merge_dedup.cut_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mcd_quality_rules": op3_mcd_quality_rules,
+    "op4_tensored_minhash": op4_tensored_minhash,
     "op5_pivotal_source_mix": op5_pivotal_source_mix,
+    "op10_suffix_merge_dedup": op10_suffix_merge_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
