@@ -147,11 +147,12 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
     cols = docs.columns
-    plan = plan_mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), F.col("nth").alias("_nth"), F.col("copies").alias("_copies"))
-    own = plan.groupBy("_id", "_s", "_h").agg(F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    rows = rows.join(own, rows["doc_id"].cast("long").eqNullSafe(own["_id"]) & rows["source"].eqNullSafe(own["_s"]) & (rows["_hash"] == own["_h"]))
-    # rows equal in id, source and text that were taken: the copies of all of them are carried by that many rows
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_s", "_h").orderBy(F.lit(0)))).where("_nth <= _rows")
-    each = F.expr("_copies div _rows + if(_nth <= _copies % _rows, 1, 0)").cast("int")
-    return rows.withColumn("_each", F.explode(F.sequence(F.lit(1), each))).where("_each > 0").select(*cols)
+    plan = plan_mix(docs, **options)
+    own = plan.groupBy(F.col("doc_id").alias("_cw_id"), F.col("source").alias("_cw_source"), F.col("text_hash").alias("_cw_hash")).agg(F.sum("copies").alias("_cw_copies"), F.count(F.lit(1)).alias("_cw_rows"))
+    key = docs["doc_id"].cast("long").eqNullSafe(F.col("_cw_id")) & docs["source"].eqNullSafe(F.col("_cw_source")) & (F.xxhash64(docs["text"]) == F.col("_cw_hash"))
+    rows = docs.join(own.where("_cw_copies > 0"), key)
+    # rows equal in id, source and text share their copies
+    nth = F.row_number().over(Window.partitionBy("_cw_id", "_cw_source", "_cw_hash").orderBy("_cw_rows"))
+    each = F.when(F.col("_cw_rows") == 1, F.col("_cw_copies")).otherwise(F.expr("_cw_copies div _cw_rows") + (F.col("_cw_nth") <= F.col("_cw_copies") % F.col("_cw_rows")).cast("long"))
+    rows = rows.withColumn("_cw_nth", nth).withColumn("_cw_each", F.explode(F.array_repeat(F.lit(1), each.cast("int"))))
+    return rows.select(*[F.col(f"`{c}`") for c in cols])

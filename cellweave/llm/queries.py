@@ -6,34 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mcd_rules, pivotal_mix, suffix_merge_dedup, tensor_minhash
+from . import cotrain_quality, mcd_rules, pivotal_mix, suffix_merge_dedup, suffix_sentencepiece, tensor_minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain_quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcd_rules.judge(_table(spark, sf_dir, "documents"))
 
 
 def op4_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tensor_minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+    rows = tensor_minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_pivotal_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal_mix.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_sentencepiece.encode(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op10_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_merge_dedup.cut_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_cotrained_quality": op2_cotrained_quality,
     "op3_mcd_quality_rules": op3_mcd_quality_rules,
     "op4_tensored_minhash": op4_tensored_minhash,
     "op5_pivotal_source_mix": op5_pivotal_source_mix,
+    "op9_suffix_sentencepiece": op9_suffix_sentencepiece,
     "op10_suffix_merge_dedup": op10_suffix_merge_dedup,
 }
 

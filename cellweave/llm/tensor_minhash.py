@@ -16,9 +16,9 @@ from .textkernel import Words, as_bytes, groups, mix
 #: SIDE * SIDE tables of 2 * ROWS rows cost 2 * SIDE * ROWS minhashes.  At similarity 0.85 a collection agrees with
 #: probability 0.614, and a pair meets in no table with probability 2 * 0.386**12 = 2.2e-5.
 SIDE, ROWS = 12, 3
-#: Of the 2 * SIDE collections this many must agree before full sets are compared; at similarity 0.85 fewer do so
-#: with probability 1e-7.
-AGREE = 4
+#: Of the 2 * SIDE collections this many must agree before full sets are compared; at similarity 0.8 fewer do so
+#: with probability 2e-5.
+AGREE = 3
 #: Members that one task compares with a pivot before the pivot is sent to a further task.
 SALT = 64
 
@@ -77,7 +77,7 @@ def _sketch(width: int):
                 key = np.array([set_key(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 sk = np.array([collections_of(s) if len(s) else np.zeros(2 * SIDE, np.uint64) for s in sets]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sk.size + 1, 2 * SIDE), pa.int32()), pa.array(sk.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(run_)), pa.array(n), pa.array(key), lists], ["doc_id", "n_shingles", "cls", "sk"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(run_)), b.column(2).slice(first, len(run_)), pa.array(n), pa.array(key), lists], ["doc_id", "text_hash", "n_shingles", "cls", "sk"])
 
     return run
 
@@ -149,7 +149,7 @@ def verify(stages: Stages, pairs: DataFrame, classes: DataFrame, docs: DataFrame
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, stages: Stages | None = None) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id, text)``.
+    """``doc_id, n_shingles, component_id, kept, text_hash`` of every row of ``docs(doc_id, text)``.
 
     Rows with equal shingle sets are one class; classes whose sets have a Jaccard similarity of ``percent`` / 100 or
     more are linked; components close the links.  A null or wordless text is an empty set and links with nothing.
@@ -162,8 +162,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, stages:
     component or was compared.
     """
     stages = stages or Stages(docs.sparkSession, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stages.save(docs.mapInArrow(_sketch(width), "doc_id long, n_shingles long, cls long, sk array<long>"), "sketches")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    rows = stages.save(docs.mapInArrow(_sketch(width), "doc_id long, text_hash long, n_shingles long, cls long, sk array<long>"), "sketches")
     sets = rows.where("n_shingles > 0")
     classes = stages.save(sets.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sk").alias("sk")), "classes")
 
@@ -200,15 +200,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, stages:
         pairs = live.join(heads, "key").where("rank > at and component <> of").select(F.col("cls").alias("a"), "b").distinct()
         low, high = high, 2 * high
     # smallest doc_id of each component
-    node = rows.select("doc_id", "n_shingles", "cls").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    node = rows.select("doc_id", "text_hash", "n_shingles", "cls").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = node.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = node.where("n_shingles > 0").join(first, "component").select("doc_id", "n_shingles", "component_id")
-    alone = node.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = node.where("n_shingles > 0").join(first, "component").select("doc_id", "n_shingles", "component_id", "text_hash")
+    alone = node.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
+    return out.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` of which one stays for each component: the one with the smallest doc_id."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows
+def deduplicate(docs: DataFrame, stages: Stages | None = None, **options) -> DataFrame:
+    """The rows of ``docs`` of which one stays for each component: one with the smallest doc_id.
+
+    Rows without words are all different and stay.  Of rows that repeat a doc_id with the same text one stays.
+    """
+    stages = stages or Stages(docs.sparkSession, "minhash")
+    found = near_duplicates(docs, stages=stages, **options).where("kept")
+    kept = found.groupBy(F.col("doc_id").alias("_cw_id"), F.col("text_hash").alias("_cw_hash")).agg(F.count(F.lit(1)).alias("_cw_rows"))
+    kept = stages.save(kept, "kept")
+    key = docs["doc_id"].cast("long").eqNullSafe(F.col("_cw_id")) & (F.xxhash64(docs["text"]) == F.col("_cw_hash"))
+    rows = docs.join(kept.where("_cw_rows = 1"), key, "left_semi")
+    again = kept.where("_cw_rows > 1")
+    if again.isEmpty():
+        return rows
+    repeated = docs.join(again, key, "left_semi").dropDuplicates(["doc_id", "text"])
+    return rows.unionByName(repeated)
