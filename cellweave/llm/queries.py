@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotrain_quality, mcd_rules, pivotal_mix, suffix_merge_dedup, suffix_sentencepiece, tensor_minhash
+from . import (
+    cotrain_quality,
+    lbl_lm,
+    mcd_rules,
+    pivotal_mix,
+    site_template,
+    sorted_projection,
+    suffix_merge_dedup,
+    suffix_sentencepiece,
+    tensor_minhash,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +40,18 @@ def op5_pivotal_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal_mix.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl_lm.score(_table(spark, sf_dir, "documents"))
+
+
+def op7_site_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_template.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op8_sorted_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorted_projection.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_suffix_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sentencepiece.encode(_table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -44,6 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mcd_quality_rules": op3_mcd_quality_rules,
     "op4_tensored_minhash": op4_tensored_minhash,
     "op5_pivotal_source_mix": op5_pivotal_source_mix,
+    "op6_log_bilinear_lm": op6_log_bilinear_lm,
+    "op7_site_template_text": op7_site_template_text,
+    "op8_sorted_projection": op8_sorted_projection,
     "op9_suffix_sentencepiece": op9_suffix_sentencepiece,
     "op10_suffix_merge_dedup": op10_suffix_merge_dedup,
 }
