@@ -16,6 +16,7 @@ from . import (
     suffix_merge_dedup,
     suffix_sentencepiece,
     tensor_minhash,
+    token_range_coder,
 )
 
 
@@ -23,6 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_range_coder.read_ids(token_range_coder.write_ids(_table(spark, sf_dir, "documents")))
+
+
 def op2_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain_quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -62,6 +67,7 @@ def op10_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_range_coded_ids": op1_range_coded_ids,
     "op2_cotrained_quality": op2_cotrained_quality,
     "op3_mcd_quality_rules": op3_mcd_quality_rules,
     "op4_tensored_minhash": op4_tensored_minhash,
