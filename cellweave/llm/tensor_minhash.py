@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Stages, components
 from .textkernel import Words, as_bytes, groups, mix
@@ -16,9 +17,11 @@ from .textkernel import Words, as_bytes, groups, mix
 #: SIDE * SIDE tables of 2 * ROWS rows cost 2 * SIDE * ROWS minhashes.  At similarity 0.85 a collection agrees with
 #: probability 0.614, and a pair meets in no table with probability 2 * 0.386**12 = 2.2e-5.
 SIDE, ROWS = 12, 3
-#: Of the 2 * SIDE collections this many must agree before full sets are compared; at similarity 0.8 fewer do so
-#: with probability 2e-5.
-AGREE = 3
+#: A pair's minhashes, one byte each, must agree so often before full sets are compared: 4.8 standard deviations below
+#: the mean at the threshold, which loses one pair in a million there.
+DEVIATIONS = 4.8
+#: Minhash bytes in one long of the sketch; with 6 no sum below overflows.
+PACK = 6
 #: Members that one task compares with a pivot before the pivot is sent to a further task.
 SALT = 64
 
@@ -56,15 +59,36 @@ def set_key(s: np.ndarray) -> int:
 
 
 def collections_of(s: np.ndarray) -> np.ndarray:
-    """The 2 * SIDE collection hashes of a set."""
+    """The 2 * SIDE collection hashes of a set, then its minhashes' bytes, PACK to a long."""
     m = np.full(len(_A), np.uint64(2**64 - 1))
     for i in range(0, len(s), 4096):
         m = np.minimum(m, (s[i : i + 4096, None] * _A + _B).min(axis=0))
+    low = (mix(m) & np.uint64(255)).reshape(-1, PACK) << (np.arange(PACK, dtype=np.uint64) * np.uint64(8))
     m = m.reshape(2 * SIDE, ROWS)
     acc = np.arange(2 * SIDE, dtype=np.uint64)
     for k in range(ROWS):
         acc = mix(acc * np.uint64(31) ^ m[:, k])
-    return acc
+    return np.concatenate([acc, np.bitwise_or.reduce(low, axis=1)])
+
+
+#: Collection hashes and packed longs of a sketch.
+_LONGS = 2 * SIDE + 2 * SIDE * ROWS // PACK
+_LOW7 = int.from_bytes(b"\x7f" * PACK, "big")
+
+
+def agreement(a: str, b: str) -> Column:
+    """How many minhash bytes of two sketches agree: the zero bytes of their packed longs' differences."""
+    total = F.lit(0)
+    for i in range(2 * SIDE, _LONGS):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        differs = ((x.bitwiseAND(F.lit(_LOW7)) + F.lit(_LOW7)).bitwiseOR(x)).bitwiseOR(F.lit(_LOW7))
+        total = total + F.bit_count(F.bitwise_not(differs))
+    return total - (_LONGS - 2 * SIDE) * (64 - 8 * PACK)
+
+
+def least_agreement(percent: int) -> int:
+    n, p = 2 * SIDE * ROWS, percent / 100
+    return max(1, int(n * p - DEVIATIONS * (n * p * (1 - p)) ** 0.5))
 
 
 def _sketch(width: int):
@@ -75,41 +99,31 @@ def _sketch(width: int):
                 sets = shingle_sets(run_, width)
                 n = np.array([len(s) for s in sets], np.int64)
                 key = np.array([set_key(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                sk = np.array([collections_of(s) if len(s) else np.zeros(2 * SIDE, np.uint64) for s in sets]).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sk.size + 1, 2 * SIDE), pa.int32()), pa.array(sk.ravel()))
+                sk = np.array([collections_of(s) if len(s) else np.zeros(_LONGS, np.uint64) for s in sets]).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sk.size + 1, _LONGS), pa.int32()), pa.array(sk.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(run_)), b.column(2).slice(first, len(run_)), pa.array(n), pa.array(key), lists], ["doc_id", "text_hash", "n_shingles", "cls", "sk"])
 
     return run
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, cls), those whose key has two or more: with their rank and the first class."""
-    last_key = last_cls = pivot = None
-    rank = 0
-    held = False  # the last row isn't written yet: it stood first in its run
+    """Of rows sorted by (key, cls), those whose key has two or more."""
+    last = None  # the last row of the batch before, and whether it is given out
     for b in batches:
         key, cls = b.column(0).to_numpy(), b.column(1).to_numpy()
         if not len(key):
             continue
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        new[0] = last_key is None or key[0] != last_key
-        start = np.flatnonzero(new)
-        at = np.arange(len(key))
-        first = np.full(len(key), -1)
-        first[start] = start
-        first = np.maximum.accumulate(first)  # -1: the run began in an earlier batch
-        ranks = np.where(first < 0, at + rank + 1, at - first)
-        piv = np.where(first < 0, pivot if pivot is not None else 0, cls[np.maximum(first, 0)])
-        more = np.zeros(len(key), bool)
-        more[:-1] = key[1:] == key[:-1]  # a later row has the same key
-        keep = (ranks > 0) | more
-        k, c, r, p = key[keep], cls[keep], ranks[keep], piv[keep]
-        if held and not new[0]:
-            k, c, r, p = np.append(k, last_key), np.append(c, last_cls), np.append(r, 0), np.append(p, last_cls)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.array(r.astype(np.int64)), pa.array(p)], ["key", "cls", "rank", "pivot"])
-        last_key, last_cls, rank, pivot = key[-1], cls[-1], int(ranks[-1]), piv[-1]
-        held = rank == 0
+        same = key[1:] == key[:-1]
+        keep = np.zeros(len(key), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        if last is not None and last[0] == key[0]:
+            keep[0] = True
+        k, c = key[keep], cls[keep]
+        if last is not None and last[0] == key[0] and not last[2]:
+            k, c = np.append(k, last[0]), np.append(c, last[1])
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "cls"])
+        last = (key[-1], cls[-1], bool(keep[-1]))
 
 
 def _compare(width: int, percent: int):
@@ -156,10 +170,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, stages:
     Repeated doc_ids are allowed; component_id is the smallest non-null doc_id of the component, kept tells whether
     the row's doc_id is that one.  Extra columns are ignored.
 
-    No bucket is expanded into pairs.  First each class is compared with the smallest class it shares a bucket with.
-    Then, as long as a bucket holds more than one component, its members of other components are compared with the
-    bucket's first member, its second, the next two, four, and so on: every pair of a bucket is either in one
-    component or was compared.
+    No bucket is expanded into pairs.  The popularity of a class is the number of rows in its buckets: an original is
+    more popular than its copies, which are farther from each other than from it.  First each class is compared with
+    the most popular class it shares a bucket with.  Then, as long as a bucket holds more than one component, its
+    members are compared with its most popular member, the second, the next two, four, and so on, unless they are of
+    one component or their sketches differ by too much: every pair of a bucket is in one component or was compared.
     """
     stages = stages or Stages(docs.sparkSession, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
@@ -174,30 +189,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, stages:
     )
     parts = max(int(stages.spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keyed = classes.select(F.explode(keys).alias("key"), "cls").repartition(parts, "key").sortWithinPartitions("key", "cls")
-    buckets = stages.save(keyed.mapInArrow(_runs, "key long, cls long, rank long, pivot long"), "buckets")
-
+    buckets = stages.save(keyed.mapInArrow(_runs, "key long, cls long"), "buckets")
+
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    popular = stages.save(buckets.join(sizes, "key").groupBy("cls").agg(F.sum("n").alias("pop")), "popularity")
+    place = F.struct((-F.col("pop")).alias("less"), F.col("cls").alias("cls")).alias("place")
+    placed = stages.save(buckets.join(popular, "cls").select("key", "cls", place), "places")
+    stages.drop(buckets, popular)
+    first = placed.groupBy("key").agg(F.min("place").alias("head"))
+    pairs = placed.join(first, "key").where("head.cls <> cls").groupBy(F.col("cls").alias("a")).agg(F.min("head").alias("h")).select("a", F.col("h.cls").alias("b"))
+    least = least_agreement(percent)
     sk = classes.select("cls", "sk")
-    agree = sum((F.get("sk", F.lit(i)) == F.get("sk2", F.lit(i))).cast("int") for i in range(2 * SIDE))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        other = sk.select(F.col("cls").alias("b"), F.col("sk").alias("sk2"))
-        return pairs.join(sk.withColumnRenamed("cls", "a"), "a").join(other, "b").where(agree >= AGREE).select("a", "b")
-
-    pairs = buckets.where("rank > 0").groupBy(F.col("cls").alias("a")).agg(F.min("pivot").alias("b"))
-    links, comp, low, high = None, None, 0, 1
+    far = pairs.join(sk.select(F.col("cls").alias("a"), F.col("sk").alias("s1")), "a").join(sk.select(F.col("cls").alias("b"), F.col("sk").alias("s2")), "b")
+    pairs = far.where(agreement("s1", "s2") >= least).select("a", "b")
+    links, live, low, high = None, None, 0, 1
     while True:
-        pairs = stages.save(alike(pairs), "pairs")
+        pairs = stages.save(pairs, "pairs")
         found = verify(stages, pairs, classes, docs, width, percent)
-        links = stages.save(found if links is None else links.union(found), "links")
+        after = stages.save(found if links is None else links.union(found), "links")
+        stages.drop(links, pairs)
+        links = after
         comp = stages.save(components(stages, links), "components")
-        named = buckets.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("rank").alias("top")).where(f"x < y and top > {low}")
-        live = stages.save(named.join(mixed, "key").select("key", "cls", "rank", "pivot", "component"), "live")
-        if live.isEmpty():
+        named = (placed if live is None else live).join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where(f"x < y and n > {low + 1}").select("key")
+        named = named.join(mixed, "key", "left_semi")
+        if live is None:
+            rank = F.row_number().over(Window.partitionBy("key").orderBy("place")) - 1
+            named = named.withColumn("rank", rank).join(sk, "cls").select("key", "cls", "rank", "sk", "component")
+        else:
+            named = named.select("key", "cls", "rank", "sk", "component")
+        after = stages.save(named, "live")
+        stages.drop(live)
+        live = after.drop("component")
+        live._stage_path = after._stage_path
+        if after.isEmpty():
             break
-        buckets = live.select("key", "cls", "rank", "pivot")
-        heads = live.where(f"rank >= {low} and rank < {high}").select("key", F.col("cls").alias("b"), F.col("rank").alias("at"), F.col("component").alias("of"))
-        pairs = live.join(heads, "key").where("rank > at and component <> of").select(F.col("cls").alias("a"), "b").distinct()
+        heads = after.where(f"rank >= {low} and rank < {high}").select("key", F.col("cls").alias("b"), F.col("rank").alias("at"), F.col("component").alias("of"), F.col("sk").alias("s2"))
+        near = (F.col("rank") > F.col("at")) & (F.col("component") != F.col("of")) & (agreement("sk", "s2") >= least)
+        pairs = after.join(heads.withColumnRenamed("key", "_k"), (F.col("key") == F.col("_k")) & near).select(F.col("cls").alias("a"), "b").distinct()
         low, high = high, 2 * high
     # smallest doc_id of each component
     node = rows.select("doc_id", "text_hash", "n_shingles", "cls").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
