@@ -1,10 +1,8 @@
-"""Queries over the driver's tables and their SQL."""
+"""All queries over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import q_annotate, q_counts, q_expression, q_joins, q_metrics, q_region, q_sources, q_spatial, q_stats, registry  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = registry.QUERIES
+ORACLE_SQL = registry.ORACLE_SQL
