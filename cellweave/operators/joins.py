@@ -74,8 +74,8 @@ def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def label_chain(points: DataFrame, raster: DataFrame, labels: DataFrame, missing: str = "unmatched") -> DataFrame:
-    """Truth points to the predicted cell under them to its label."""
-    return attribute(points, raster).join(labels.select("cell_id", "label"), "cell_id", "left").withColumn("label", F.coalesce("label", F.lit(missing)))
+    """Truth points to the predicted cell under them to its label; cell 0 is the background."""
+    return attribute(points, raster).join(labels.where("cell_id <> 0").select("cell_id", "label"), "cell_id", "left").withColumn("label", F.coalesce("label", F.lit(missing)))
 
 
 def dense_ids(df: DataFrame, key: str, name: str = "dense", chunk: int = 1 << 20) -> DataFrame:

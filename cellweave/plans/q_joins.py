@@ -97,7 +97,7 @@ def _(v: Views):
     return J.assign_barcodes(v.cells().select("cell_id"), pool)
 
 
-@query("e19_truth_label_chain", sql("raster genes", "SELECT coalesce(panel, 'unmatched') AS label, count(*) AS n FROM b LEFT JOIN raster USING (\"row\", col) LEFT JOIN genes ON genes.gene_id = raster.cell_id GROUP BY 1", b=_BINS))
+@query("e19_truth_label_chain", sql("raster genes", "SELECT coalesce(panel, 'unmatched') AS label, count(*) AS n FROM b LEFT JOIN raster USING (\"row\", col) LEFT JOIN genes ON genes.gene_id = raster.cell_id AND genes.gene_id <> 0 GROUP BY 1", b=_BINS))
 def _(v: Views):
     labels = v.genes().select(F.col("gene_id").alias("cell_id"), F.col("panel").alias("label"))
     return J.label_chain(_some_bins(v), v.raster(), labels).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
