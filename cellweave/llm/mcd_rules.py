@@ -21,6 +21,8 @@ REWEIGHT, CUTOFF = 11.14, 18.47
 STEPS = 4
 #: A group with fewer rows is judged by the estimate of its language, a language with fewer by that of all rows.
 LEAST = 50
+#: Cells whose estimates are sent to every task at most.
+BROADCAST = 10_000
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -133,25 +135,28 @@ def judge(docs: DataFrame, stages: Stages | None = None) -> DataFrame:
     placed = placed.withColumn("cell", F.coalesce("cell", F.lit("all"))).drop("l", "s")
     # a cell's estimate is learnt from every row that its name covers
     names = F.array(F.lit("all"), name("lang"), name("lang", "source"))
-    used = stages.save(cells.select("cell").distinct().union(rows.sparkSession.createDataFrame([("all",)], "cell string")).distinct(), "used")
+    used = stages.save(cells.select("cell").distinct(), "used")
+    few = used.count() <= BROADCAST
+    near = F.broadcast if few else (lambda x: x)  # a hot cell then stays spread; beyond, joins that Spark can split
     learn = rows.where("not base_failed").select(F.explode(names).alias("cell"), *[f"x{i}" for i in range(len(DIMS))])
-    learn = stages.save(learn.join(used, "cell", "left_semi"), "learn")
+    learn = stages.save(learn.join(near(used), "cell", "left_semi"), "learn")
 
     d = len(DIMS)
     mid = learn.groupBy("cell").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(d)])
-    off = learn.join(mid, "cell").groupBy("cell", *[f"m{i}" for i in range(d)]).agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i in range(d)])
+    off = learn.join(near(mid), "cell").groupBy("cell", *[f"m{i}" for i in range(d)]).agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i in range(d)])
     start = off.withColumns({f"c{i}{j}": F.pow(1.4826 * F.col(f"a{i}"), F.lit(2)) if i == j else F.lit(0.0) for i in range(d) for j in range(i + 1)}).drop(*[f"a{i}" for i in range(d)])
     estimate = stages.save(_cholesky(start), "estimate")
     for k in range(STEPS + 1):
-        far = _distance(learn, estimate)
+        far = _distance(learn, near(estimate))
         if k < STEPS:
             limit = far.groupBy("cell").agg(F.percentile_approx("d2", ALPHA, 1000).alias("limit"))
-            core = far.join(limit, "cell").where("d2 <= limit")
+            core = far.join(near(limit), "cell").where("d2 <= limit")
         else:
             core = far.where(F.col("d2") <= REWEIGHT)
         estimate = stages.save(_moments(core, ["cell"], CONSISTENT if k < STEPS else 1.0), "estimate")
-    out = _distance(placed, estimate)  # every cell that has rows has an estimate, but "all" has none if no row passes the base
-    missing = placed.join(estimate, "cell", "left_anti").withColumn("d2", F.lit(None).cast("double"))
+    out = _distance(placed, near(estimate))
+    # rows of a cell without any row that passes the base rules
+    missing = placed.join(near(estimate.select("cell")), "cell", "left_anti").withColumn("d2", F.lit(None).cast("double"))
     out = out.unionByName(missing)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance"), "cell")
