@@ -21,11 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkernel import as_bytes, groups, prefix_hash, span_hash
+from .textkernel import Remembered, as_bytes, groups, prefix_hash, span_hash
 
 BLANK = "▁"
-#: Chunks that a worker remembers; beyond, it starts anew.
-REMEMBER = 1_500_000
+#: Chunks of one generation that a worker remembers.
+REMEMBER = 600_000
+#: Chunks that one index holds.
+INDEXED = 30_000
 _START, _UNSET, _OTHER = -1, -2, -3
 
 
@@ -90,7 +92,7 @@ class Vocabulary:
     def may_follow(self, a: int, b: int) -> bool:
         key = a * 65536 + b
         if (out := self.follows.get(key)) is None:
-            if len(self.follows) > 4_000_000:
+            if len(self.follows) > 1_500_000:
                 self.follows.clear()
             x, y = self.text[a], self.text[b]
             out = self.follows[key] = self.stands(a) and self.stands(b) and self.border_holds(x, y)
@@ -168,6 +170,13 @@ def occurrences(v: Vocabulary, codes: np.ndarray, order: np.ndarray) -> tuple[np
     return search(False), search(True)
 
 
+def _rows(a: np.ndarray, b: np.ndarray, c: np.ndarray, order: np.ndarray, step: int = 1 << 16):
+    """Rows of three columns in an order, made into Python numbers a block at a time."""
+    for i in range(0, len(order), step):
+        k = order[i : i + step]
+        yield from zip(a[k].tolist(), b[k].tolist(), c[k].tolist(), strict=True)
+
+
 def encode_chunks(v: Vocabulary, chunks: list[str]) -> list[list[int]]:
     """Ids of each chunk (blanks then other characters), together."""
     if not chunks:
@@ -192,7 +201,7 @@ def encode_chunks(v: Vocabulary, chunks: list[str]) -> list[list[int]]:
     for b in begin.tolist():
         last[b] = _START
     follow, stands, known = v.may_follow, v.stands, v.follows
-    for s, e, t in zip(start[by_end].tolist(), (start + size)[by_end].tolist(), ids[by_end].tolist(), strict=True):
+    for s, e, t in _rows(start, start + size, ids, by_end):
         if last[e] != _UNSET:
             continue
         p = last[s]
@@ -225,7 +234,7 @@ def encode_chunks(v: Vocabulary, chunks: list[str]) -> list[list[int]]:
 class Encoder:
     def __init__(self, path: str):
         self.v = Vocabulary(path)
-        self.known: dict[int, bytes] = {}
+        self.known = Remembered(REMEMBER)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
@@ -243,15 +252,15 @@ class Encoder:
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
         uniq, index, inverse = np.unique(span_hash(prefix_hash(buf), start, end), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBER:
-            self.known.clear()
         names = uniq.tolist()
-        new = [i for i, h in enumerate(names) if h not in self.known]
-        where = [(int(start[k]), int(end[k])) for k in index[new].tolist()]
-        chunks = [data[a:b].decode("utf-8", "replace").replace(" ", BLANK) for a, b in where]
-        for i, ids in zip(new, encode_chunks(self.v, chunks), strict=True):
-            self.known[names[i]] = np.array(ids, np.uint16).tobytes()
-        coded = [self.known[h] for h in names]
+        coded = self.known.find(names)
+        new = [i for i, v in enumerate(coded) if v is None]
+        for lo in range(0, len(new), INDEXED):
+            own = new[lo : lo + INDEXED]
+            k = index[own]
+            chunks = [data[a:b].decode("utf-8", "replace").replace(" ", BLANK) for a, b in zip(start[k].tolist(), end[k].tolist(), strict=True)]
+            for i, ids in zip(own, encode_chunks(self.v, chunks), strict=True):
+                coded[i] = self.known.new[names[i]] = np.array(ids, np.uint16).tobytes()
         each = inverse.tolist()
         bounds = np.searchsorted(start, first).tolist()
         return [b"".join([coded[k] for k in each[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -279,7 +288,7 @@ def _encode(path: str, carried: int, with_ids: bool):
         e = encoder(path)
         for b in batches:
             texts = as_bytes(b.column(carried))
-            for first, some in groups(texts, 8 << 20):
+            for first, some in groups(texts, 2 << 20):
                 ids = e.encode(some)
                 back = [e.decode(x) for x in ids]
                 same = [x == (t.replace(BLANK.encode(), b" ") if BLANK.encode() in t else t) for x, t in zip(back, some, strict=True)]

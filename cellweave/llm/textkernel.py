@@ -82,6 +82,29 @@ def as_bytes(column) -> list[bytes]:
     return column.to_pylist()
 
 
+class Remembered:
+    """Results by hash in two generations: as the newer one is full, what it doesn't hold again is forgotten."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.new: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+
+    def find(self, names: list[int]) -> list[bytes | None]:
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+        new, old, out = self.new, self.old, []
+        for h in names:
+            v = new.get(h)
+            if v is None and (v := old.get(h)) is not None:
+                new[h] = v
+            out.append(v)
+        return out
+
+    def __len__(self) -> int:
+        return len(self.new) + len(self.old)
+
+
 class Words:
     """Words of a list of texts: parallel arrays ``doc``, ``start``, ``end`` and ``hash``."""
 
