@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stages
-from .textkernel import as_bytes, groups, prefix_hash, span_hash
+from .textkernel import Remembered, as_bytes, groups, prefix_hash, span_hash
 
 BLOCK = 4096
 #: Ids after which a segment ends at the next document's end.
@@ -41,6 +41,8 @@ SLOT_BITS = 11
 SURE = 7
 #: Increments and limits of the mixture's and the nibbles' frequencies.
 MIX_STEP, MIX_LIMIT, NIBBLE_STEP, NIBBLE_LIMIT = 24, 4096, 24, 2040
+#: Chunks of one generation that a worker remembers.
+REMEMBER = 500_000
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
 _U = np.uint64
 
@@ -340,7 +342,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, bytes] = {}
+        self.known = Remembered(REMEMBER)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
@@ -357,17 +359,15 @@ class Tokens:
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
         uniq, index, inverse = np.unique(span_hash(prefix_hash(buf), start, end), return_index=True, return_inverse=True)
-        if len(self.known) > 1_500_000:
-            self.known.clear()
         names = uniq.tolist()
-        new = [i for i, h in enumerate(names) if h not in self.known]
+        coded = self.known.find(names)
+        new = [i for i, v in enumerate(coded) if v is None]
         where = index[new]
         for lo in range(0, len(new), 20_000):
             own = where[lo : lo + 20_000]
             chunks = [data[a:b].decode("utf-8", "replace") for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)]
             for i, e in zip(new[lo : lo + 20_000], self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-                self.known[names[i]] = np.array(e.ids, "<u2").tobytes()
-        coded = [self.known[h] for h in names]
+                coded[i] = self.known.new[names[i]] = np.array(e.ids, "<u2").tobytes()
         each = inverse.tolist()
         bounds = np.searchsorted(start, first).tolist()
         return [b"".join([coded[k] for k in each[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -403,7 +403,7 @@ def _write(path: str, end: int, segment: int):
 
         for b in batches:
             doc_ids = b.column(0).to_pylist()
-            for first, some in groups(as_bytes(b.column(1)), 8 << 20):
+            for first, some in groups(as_bytes(b.column(1)), 2 << 20):
                 for k, ids in enumerate(coder.encode(some)):
                     names.append(doc_ids[first + k])
                     sizes.append(len(ids) // 2 + 1)
