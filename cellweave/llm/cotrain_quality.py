@@ -16,7 +16,7 @@ from .textkernel import SEP, as_bytes, groups, mix, prefix_hash, span_hash
 #: Hash buckets of the text view's words, and of the metadata view.
 TEXT_DIM, META_DIM = 1 << 17, 1 << 12
 #: Labelled rows that the first fit uses at most; rows are taken in the order of their ids' hashes.
-LABELLED = 20_000
+LABELLED = 12_000
 #: Rounds, and how many confident documents of each class each view hands to the other per round.
 ROUNDS, GROWTH = 3, 250
 #: Probability that a view must give a class before it vouches for it.
@@ -195,8 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, stages: Stages, rounds: int = ROUN
     table = stages.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns[1:4], columns[4].cast("long")).mapInArrow(_features, "doc_id long, t binary, m binary"), "features")
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(((F.col("quality") > 0) & (F.coalesce("toxic", F.lit(0)) <= 0)).cast("int")).alias("good"))
     order = F.xxhash64("doc_id", F.lit(7))
-    known = table.join(good, "doc_id").withColumn("_o", order).orderBy("_o", "doc_id").limit(labelled).select("doc_id", "t", "m", "good").toPandas()
-    known = known.drop_duplicates("doc_id").reset_index(drop=True)
+    there = good.join(table.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = stages.save(there.withColumn("_o", order).orderBy("_o", "doc_id").limit(labelled).select("doc_id", "good"), "labelled")
+    # features never cross the network: the bounded samples go to them
+    known = table.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
     y = known.good.to_numpy(float)
     ts, ms = _sets(known.t), _sets(known.m)
     held = (mix(known.doc_id.to_numpy(np.int64).view(np.uint64)) % np.uint64(HELD)) == 0
@@ -205,7 +207,6 @@ def train(docs: DataFrame, labels: DataFrame, stages: Stages, rounds: int = ROUN
     more: list[dict[int, tuple[np.ndarray, float, float]]] = [{}, {}]  # rows that the other view vouches for: features, class, weight
     prior = float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
     views: list[View] = []
-    unlabelled = table.join(good, "doc_id", "left_anti")
     for r in range(rounds + 1):
         views = []
         for k, (sets, dim, l2, screen) in enumerate(((ts, TEXT_DIM, 0.3, SCREEN), (ms, META_DIM, 10.0, 0.0))):
@@ -215,15 +216,16 @@ def train(docs: DataFrame, labels: DataFrame, stages: Stages, rounds: int = ROUN
             views.append(calibrate(fit(x, yy, w, dim, l2, screen), pick(sets, test), y[test]))
         if r == rounds or not len(y):
             break
-        scored = stages.save(unlabelled.mapInArrow(_scorer(*views), "doc_id long, text_logit double, meta_logit double"), "scores")
         least = float(np.log(CONFIDENT / (1 - CONFIDENT)))
+        scored = table.mapInArrow(_scorer(*views), "doc_id long, text_logit double, meta_logit double")
+        scored = stages.save(scored.join(good, "doc_id", "left_anti"), "scores")
         sure = None
         for k, name in enumerate(("text_logit", "meta_logit")):
             for cls, z in ((1, F.col(name)), (0, -F.col(name))):
                 top = scored.where(z >= least).orderBy(z.desc(), F.xxhash64("doc_id"), "doc_id").limit(GROWTH).select("doc_id", F.lit(1 - k).alias("to"), F.lit(cls).alias("cls"), z.alias("z"))
                 sure = top if sure is None else sure.union(top)
         sure = stages.save(sure, "sure")
-        rows = table.join(F.broadcast(sure), "doc_id").select("doc_id", "to", "cls", "z", "t", "m").collect()  # at most 4 * GROWTH rows
+        rows = table.join(F.broadcast(sure), "doc_id").select("doc_id", "to", "cls", "z", "t", "m").dropDuplicates(["doc_id", "to", "cls"]).collect()  # at most 4 * GROWTH rows
         for row in sorted(rows, key=lambda x: (x.to, x.doc_id, x.cls)):
             weight = 0.5 / (1 + np.exp(-min(row.z, 30)))
             more[row.to][row.doc_id] = (np.frombuffer(row.t if row.to == 0 else row.m, np.int32), float(row.cls), float(weight))
