@@ -45,13 +45,14 @@ def fill_polygons(polygons: DataFrame) -> DataFrame:
                 x, y = v[:, 0], v[:, 1]
                 nx, ny = np.roll(x, -1), np.roll(y, -1)
                 rows, cols = np.mgrid[y.min() : y.max() + 1, x.min() : x.max() + 1]
-                inside = np.zeros(rows.shape, bool)
+                inside, edge = np.zeros(rows.shape, bool), np.zeros(rows.shape, bool)
                 for a, b, c, d in zip(x, y, nx, ny, strict=True):
                     if b != d:
                         cross = ((b > rows) != (d > rows)) & (cols < (c - a) * (rows - b) / (d - b) + a)
                         inside ^= cross
                     n = max(abs(c - a), abs(d - b), 1)  # the outline belongs to the polygon
-                    inside[np.rint(np.linspace(b, d, n + 1)).astype(int) - y.min(), np.rint(np.linspace(a, c, n + 1)).astype(int) - x.min()] = True
+                    edge[np.rint(np.linspace(b, d, n + 1)).astype(int) - y.min(), np.rint(np.linspace(a, c, n + 1)).astype(int) - x.min()] = True
+                inside |= edge
                 out.append(pd.DataFrame({"row": rows[inside], "col": cols[inside], "cell_id": cell, "ord": order}))
             if out:
                 yield pd.concat(out)

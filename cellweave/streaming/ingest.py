@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def windowed(events: DataFrame, width: str, late: str = "10 minutes", time: str = "ts") -> DataFrame:
     """Counts and totals per window and type; on a stream, rows later than ``late`` are dropped and windows close."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     return rows.groupBy(F.window(time, width).alias("window"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 

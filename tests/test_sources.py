@@ -67,7 +67,7 @@ def test_sinks(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, small, tmp_path):
-    events = spark.read.parquet(f"{small}/events.parquet")
+    events = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     (tmp_path / "in").mkdir()
     events.coalesce(1).sortWithinPartitions("ts").write.mode("overwrite").parquet(f"{tmp_path}/in")
     stream = ingest.windowed(ingest.read_folder(spark, f"{tmp_path}/in", events.schema), "1 day")
