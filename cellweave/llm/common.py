@@ -79,9 +79,9 @@ class Stages:
 def components(stages: Stages, links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)`` as ``(id, component)``, component the smallest id reachable.
 
-    Alternates large-star and small-star steps until the link table stays as it is.  Each step is a minimum per
-    vertex (partial aggregation) and a join back, which adaptive execution splits at hubs; no neighbour list is
-    ever gathered in one row.
+    Alternates large-star and small-star steps until every vertex has one link, to a vertex without any.  Each step is
+    a minimum per vertex (partial aggregation) and a join back, which adaptive execution splits at hubs; no neighbour
+    list is ever gathered in one row.
     """
 
     def minima(edges: DataFrame) -> DataFrame:
@@ -97,19 +97,17 @@ def components(stages: Stages, links: DataFrame) -> DataFrame:
         out = joined.where(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not large:
             out = out.union(m.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
+        return out.where("u <> v")
 
-    def mark(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
+    def done(edges: DataFrame) -> bool:
+        if not edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            return False
+        return edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = stages.save(edges, "links")
-    seen = mark(edges)
-    while seen[0]:
-        after = stages.save(step(step(edges, True), False), "star")
+    while not done(edges):
+        after = stages.save(step(step(edges, True), False).distinct(), "star")
         stages.drop(edges)
-        now, edges = mark(after), after
-        if now == seen:
-            break
-        seen = now
+        edges = after
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, stages:
     No bucket is expanded into pairs.  The popularity of a class is the number of rows in its buckets: an original is
     more popular than its copies, which are farther from each other than from it.  First each class is compared with
     the most popular class it shares a bucket with.  Then, as long as a bucket holds more than one component, its
-    members are compared with its most popular member, the second, the next two, four, and so on, unless they are of
+    members are compared with its most popular member, the next seven, the next fifty-six, and so on, unless they are of
     one component or their sketches differ by too much: every pair of a bucket is in one component or was compared.
     """
     stages = stages or Stages(docs.sparkSession, "minhash")
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, stages:
         heads = after.where(f"rank >= {low} and rank < {high}").select("key", F.col("cls").alias("b"), F.col("rank").alias("at"), F.col("component").alias("of"), F.col("sk").alias("s2"))
         near = (F.col("rank") > F.col("at")) & (F.col("component") != F.col("of")) & (agreement("sk", "s2") >= least)
         pairs = after.join(heads.withColumnRenamed("key", "_k"), (F.col("key") == F.col("_k")) & near).select(F.col("cls").alias("a"), "b").distinct()
-        low, high = high, 2 * high
+        low, high = high, 8 * high
     # smallest doc_id of each component
     node = rows.select("doc_id", "text_hash", "n_shingles", "cls").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = node.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
