@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ BATCH = 4
 #: Vectors in one block of the comparison within components.
 BLOCK = 256
 BITS = 62
+#: Links, and the rows at the ends of a task.
+ENDS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("task", pa.int32()), ("tail", pa.bool_()), ("pass", pa.int32()), ("part", pa.int64()), ("code", pa.int64()), ("many", pa.int64()), ("at", pa.int32()), ("cls", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+ENDS_SQL = "a long, b long, task int, tail boolean, pass int, part long, code long, many long, at int, cls long, embedding array<double>"
 
 
 def passes_for(most: int, cosine: float, window: int = WINDOW, miss: float = MISS) -> int:
@@ -63,28 +67,83 @@ def _codes(first: int, many: int, seed: int):
 
 
 def _windows(cosine: float, window: int):
-    """Rows sorted by (pass, part, code): links among neighbours of one pass and part."""
+    """Rows sorted by (pass, part, code): links among neighbours of one pass and part, and the rows at the task's ends.
+
+    Of its first pass and part a task gives the first ``window`` rows (``tail`` false, ``at`` 0 is the first), of its
+    last the last ``window`` rows (``tail`` true, ``at`` 0 is the last), with the number of rows that it has of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last rows of the batches before, of one pass and part
+        held = None  # the last rows of the batches before, of one pass and part: key, rows so far, vectors, classes, code of the last
+        head = None  # the first rows of the task, of its first pass and part: key, rows so far, vectors, classes, code of the first
+        task = TaskContext.get().partitionId()
         for b in batches:
             if not b.num_rows:
                 continue
-            p, part, cls = (b.column(i).to_numpy() for i in (0, 1, 3))
+            p, part, code, cls = (b.column(i).to_numpy() for i in (0, 1, 2, 3))
             cut = np.flatnonzero((p[1:] != p[:-1]) | (part[1:] != part[:-1])) + 1
             for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(p)], strict=True):
                 key = (int(p[s]), int(part[s]))
                 x, c = _unit(_vectors(b.column(4).slice(s, e - s))), cls[s:e]
-                old = 0
+                if head is None:
+                    head = (key, e - s, x[:window], c[:window], code[s])
+                elif head[0] == key:
+                    more = window - len(head[3])
+                    head = (key, head[1] + e - s, np.concatenate([head[2], x[:more]]), np.concatenate([head[3], c[:more]]), head[4])
+                old = many = 0
                 if held is not None and held[0] == key:
-                    old = len(held[2])
-                    x, c = np.concatenate([held[1], x]), np.concatenate([held[2], c])
+                    old, many = len(held[3]), held[1]
+                    x, c = np.concatenate([held[2], x]), np.concatenate([held[3], c])
                 for k in range(1, min(window, len(c) - 1) + 1):
                     lo = max(0, old - k)  # pairs within the held rows were compared before
                     hit = lo + np.flatnonzero(np.einsum("ij,ij->i", x[lo : len(c) - k], x[lo + k :]) >= cosine)
                     if len(hit):
-                        yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(c[hit + k])], ["a", "b"])
-                held = (key, x[-window:], c[-window:])
+                        none = [pa.nulls(len(hit), t) for t in ENDS.types[2:]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(c[hit + k]), *none], schema=ENDS)
+                held = (key, many + e - s, x[-window:], c[-window:], code[e - 1])
+        if held is not None:
+            for tail, (key, many, x, c, last) in ((False, head), (True, held)):
+                n = len(c)
+                at = np.arange(n)[::-1] if tail else np.arange(n)
+                same = [np.full(n, v, t) for v, t in ((task, np.int32), (tail, bool), (key[0], np.int32), (key[1], np.int64), (last, np.int64), (many, np.int64))]
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *map(pa.array, same), pa.array(at, pa.int32()), pa.array(c), flat], schema=ENDS)
+
+    return run
+
+
+def _borders(ends: list, window: int) -> list[tuple[int, int, int]]:
+    """``(task, seam, gap)``: the tails of ``task`` that reach the task ``seam``, with ``gap`` rows in between.
+
+    ``ends`` has the first head and the last tail of each task: (task, tail, pass, part, code, many).
+    """
+    heads = sorted((r for r in ends if not r.tail), key=lambda r: (r["pass"], r.part, r.code))  # equal codes are in one task
+    tails = {r.task: r for r in ends if r.tail}
+    key = lambda r: (r["pass"], r.part)
+    out = []
+    for n, h in enumerate(heads):
+        gap = 0
+        for before in reversed(heads[max(0, n - window) : n]):
+            t = tails[before.task]
+            if key(t) != key(h) or gap >= window:
+                break
+            out.append((t.task, h.task, gap))
+            gap += t.many
+            if key(before) != key(t):  # the task begins with another pass or part
+                break
+    return out
+
+
+def _seam_links(cosine: float, window: int):
+    """The tails before a task and the heads of it: links within the window."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tail, far, cls = (table.column(c).to_numpy() for c in ("tail", "far", "cls"))
+        x = _vectors(table.column("embedding").combine_chunks())
+        a, b = np.flatnonzero(tail), np.flatnonzero(~tail)
+        hit = (x[a] @ x[b].T >= cosine) & (far[a][:, None] + far[b][None, :] < window)
+        i, j = np.nonzero(hit)
+        return pa.table({"a": cls[a][i], "b": cls[b][j]})
 
     return run
 
@@ -114,8 +173,8 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.93, window: int = WINDOW,
     A pass orders the vectors of each label by the concatenated signs of random projections and compares each with
     the ``window`` next in order; the number of passes follows from the largest label (``passes_for``).  Links of all
     passes are united to components.  The window bounds partners, so within each component all blocks of vectors are
-    then compared, which makes n_links exact for the components found.  Pairs at the border of two tasks are left to
-    other passes.
+    then compared, which makes n_links exact for the components found.  The last rows before each task's range are
+    compared with its first rows, however short the ranges are, so a pass compares every window.
     """
     stages = stages or Stages(rows.sparkSession, "projection")
     spark = stages.spark
@@ -134,10 +193,19 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.93, window: int = WINDOW,
         coded = classes.select("part", "cls", "embedding").mapInArrow(_codes(p, min(BATCH, total - p), seed), "pass int, part long, code long, cls long, embedding array<double>")
         # saved, since finding the ranges reads the rows a second time
         coded = stages.save(coded, "codes")
-        near = coded.repartitionByRange(parts, "pass", "part", "code").sortWithinPartitions("pass", "part", "code", "cls").mapInArrow(_windows(cosine, window), "a long, b long")
-        near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        after = stages.save((near if links is None else near.union(links)).distinct(), "links")
-        stages.drop(coded, links)
+        near = coded.repartitionByRange(parts, "pass", "part", "code").sortWithinPartitions("pass", "part", "code", "cls").mapInArrow(_windows(cosine, window), ENDS_SQL)
+        near = stages.save(near, "near")
+        ends = near.where("task is not null")
+        seams = _borders(ends.where("at = 0").select("task", "tail", "pass", "part", "code", "many").collect(), window)  # two rows a task
+        found = near.where("task is null").select("a", "b")
+        if seams:
+            plan = F.broadcast(spark.createDataFrame(seams, "task int, seam int, gap long"))
+            late = ends.where("tail").join(plan, "task").select("seam", "tail", (F.col("gap") + F.col("at")).alias("far"), "cls", "embedding").where(F.col("far") < window)
+            early = ends.where("not tail").join(plan.select("seam").distinct(), F.col("task") == F.col("seam")).select("seam", "tail", F.col("at").cast("long").alias("far"), "cls", "embedding")
+            found = found.union(late.union(early).groupBy("seam").applyInArrow(_seam_links(cosine, window), "a long, b long"))
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        after = stages.save((found if links is None else found.union(links)).distinct(), "links")
+        stages.drop(coded, near, links)
         links = after
     comp = stages.save(components(stages, links), "components")
     both = comp.union(comp.select(F.col("component").alias("id"), "component").distinct())

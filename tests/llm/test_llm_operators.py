@@ -362,6 +362,28 @@ def test_vectors_against_all_pairs(spark):
     assert sorted_projection.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [7, 64, 200])
+def test_vectors_across_many_tasks(spark, parts):
+    rng = np.random.default_rng(8)
+    size = 120  # distinct vectors of a label: one pass, whose window takes in the whole label
+    centres = rng.standard_normal((size // 2, 16))
+    rows = [(i, (centres[i % (size // 2)] + 0.05 * rng.standard_normal(16)).tolist(), i // size) for i in range(3 * size)]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    link = (x @ x.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(link, False)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r.vec_id: r.n_links for r in sorted_projection.near_duplicates(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted_projection.passes_for(size, 0.93) == 1 and link.any()
+    assert got == {i: int(n) for i, n in enumerate(link.sum(axis=1))}
+
+
 def test_passes_follow_the_size():
     assert sorted_projection.passes_for(100, 0.93) == 1
     assert sorted_projection.passes_for(10_000, 0.93) < sorted_projection.passes_for(1_000_000, 0.93)
