@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import scalar as S
 from cellweave.operators import counts as C
+from cellweave.operators import embed as M
 from cellweave.operators import expression as X
 from cellweave.operators import image as I
 from cellweave.operators import joins as J
@@ -134,6 +136,41 @@ def test_rank_sums_with_implicit_zeros(spark):
         assert u == pytest.approx(sum((x > y) + 0.5 * (x == y) for x in a for y in b))
 
 
+def brute_silhouettes(x, y):
+    d, out = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), []
+    for k, lab in enumerate(y):
+        means = {m: d[k][y == m].sum() / ((y == m).sum() - (m == lab)) for m in set(y.tolist()) if (y == m).sum() > 1 or m != lab}
+        own, other = means.get(lab), min(v for m, v in means.items() if m != lab)
+        out.append(0.0 if own is None else (other - own) / max(own, other))
+    return out
+
+
+def test_silhouettes_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "ROWS", 16)
+    rng = np.random.default_rng(4)
+    x, y = rng.standard_normal((90, 3)), np.arange(90) % 4
+    y[:5] = 7
+    y[89] = 9  # alone
+    x, y, ids = np.concatenate([x, x[:2]]), np.concatenate([y, y[:2]]), [*range(90), 0, 1]  # repeated rows
+    rows = [(i, v.tolist(), int(k)) for i, v, k in zip(ids, x, y, strict=True)] + [(500, x[0].tolist(), None)]
+    got = sorted((r.id, r.label, r.silhouette) for r in M.silhouette(spark.createDataFrame(rows, "id long, v array<double>, label int")).collect())
+    want = sorted((i, int(k), s) for i, k, s in zip(ids, y, brute_silhouettes(x, y), strict=True))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want])
+
+
+def test_silhouettes_take_all_rows(spark):
+    n = 10_050  # one dimension and two labels, so that brute force is short
+    table = spark.range(n).select("id", F.array((F.col("id") % 97).cast("double")).alias("v"), (F.col("id") % 2).cast("int").alias("label"))
+    got = {r.id: r.silhouette for r in M.silhouette(table).collect()}
+    v, lab = np.arange(n) % 97, np.arange(n) % 2
+    assert len(got) == n
+    for k in (0, 1, 5000, n - 1):
+        d = np.abs(v - v[k])
+        a, b = d[lab == lab[k]].sum() / ((lab == lab[k]).sum() - 1), d[lab != lab[k]].mean()
+        assert got[k] == pytest.approx((b - a) / max(a, b))
+
+
 def test_expansion_keeps_ties_in_order(spark):
     seeds = spark.createDataFrame([(0, 0, 1), (0, 4, 2)], "row int, col int, cell_id long")
     empty = spark.createDataFrame([(0, c) for c in (1, 2, 3)], "row int, col int")
