@@ -92,6 +92,12 @@ def _(v: Views):
     return kept.where("value > 0").groupBy("gene_id").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("value").alias("total"))
 
 
+@query("d5_gene_filter_all")
+def _(v: Views):
+    kept = C.filter_genes(v.counts(), 12)
+    return kept.where("value > 0").groupBy("gene_id").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("value").alias("total"))
+
+
 @query("d6_standalone_filter", sql("counts genes", "SELECT count(*) AS kept, count(*) >= 10 AS enough FROM m WHERE n_genes >= 150 AND pct_flagged <= 45 AND total >= 80", m=METRICS))
 def _(v: Views):
     return metrics(v).where(C.qc_pass(min_genes=150, max_pct=45, min_counts=80)).agg(F.count(F.lit(1)).alias("kept"), (F.count(F.lit(1)) >= 10).alias("enough"))

@@ -121,6 +121,11 @@ def _(v: Views):
     return X.rank_sum_markers(c, groups(v)).select("grp", "gene_id", F.round("u", 4).alias("u"), F.round("z", 4).alias("z"))
 
 
+@query("k11_rank_sum_markers_all")
+def _(v: Views):
+    return X.rank_sum_markers(v.counts(), groups(v)).select("grp", "gene_id", F.round("u", 4).alias("u"), F.round("z", 4).alias("z"))
+
+
 @query("n9_expression_value", sql("counts genes", "SELECT cell_id, round(sum(ln(1 + value)) / (SELECT count(*) FROM genes WHERE brand = 'Brand#13'), 6) AS value FROM counts WHERE gene_id IN (SELECT gene_id FROM genes WHERE brand = 'Brand#13') GROUP BY 1"))
 def _(v: Views):
     pick = v.genes().where("brand = 'Brand#13'")
@@ -186,6 +191,12 @@ def _(v: Views):
     return M.nearest_vectors(vectors.where("id % 5 = 0"), vectors, 5).select("id", "near", "nth")
 
 
+@query("l6_nearest_vectors_all")
+def _(v: Views):
+    vectors = v.vectors()
+    return M.nearest_vectors(vectors, vectors, 5).select("id", "near", "nth")
+
+
 @query("l9_graph_clusters")
 def _(v: Views):
     vectors = v.vectors()

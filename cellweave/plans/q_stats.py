@@ -28,6 +28,12 @@ def _(v: Views):
     return t.withColumn("r", T.average_rank("value", ["col"]).cast("double"))
 
 
+@query("g1_average_ranks_all")
+def _(v: Views):
+    t = v.pixels().groupBy("row", "col").agg(F.max("value").alias("value"))
+    return t.withColumn("r", T.average_rank("value", ["col"]).cast("double"))
+
+
 _P = 'SELECT col, "row", (1 + sum(value)) / 40000.0::DOUBLE AS p FROM pixels GROUP BY 1, 2'
 
 
