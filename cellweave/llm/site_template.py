@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import Stages
 
-#: A subtree is the template's if it stands in so many different pages of its host, and in this share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.01
+#: A subtree is the template's if it stands in so many different pages of its host.
+LEAST_PAGES = 5
 #: Template subtrees that are sent to every task at most; beyond, they are joined.
 BROADCAST = 100_000
 
@@ -214,8 +214,8 @@ def host_of(url: Column) -> Column:
 def main_text(pages: DataFrame, stages: Stages | None = None) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages(page_id, url, html)``.
 
-    Subtrees that stand in LEAST_PAGES or more different pages of a host, and in LEAST_SHARE of them, are the
-    template's and go; pages with the same main text count once, so copies of an article are no template.  What holds
+    Subtrees that stand in LEAST_PAGES or more different pages of a host, however large it is, are the template's and
+    go; pages with the same main text count once, so copies of an article are no template.  What holds
     the article is never a template.  Navigation, headers, footers, asides, forms, notices, adverts and comments that
     vary from page to page are known by element, role, class or id.  If nothing is left, the text is that without the
     template rule.  A null html is empty; a null or hostless url belongs to the host without a name.  Repeated rows
@@ -226,9 +226,8 @@ def main_text(pages: DataFrame, stages: Stages | None = None) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.xxhash64("page_id", "url", "html").alias("uid"), "html")
     parsed = rows.mapInArrow(_parse, f"{fields}, host string, uid long, blocks array<struct<t: string, in: array<long>>>, trees array<long>, main long")
     seen = stages.save(parsed.select(F.xxhash64("host").alias("h"), "uid", "main", "trees"), "subtrees")
-    pages_of = seen.select("h", "main").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("pages"))
     each = seen.select("h", "main", F.explode("trees").alias("tree")).distinct().groupBy("h", "tree").agg(F.count(F.lit(1)).alias("n"))
-    template = each.where(F.col("n") >= LEAST_PAGES).join(pages_of, "h").where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("h", "tree")
+    template = each.where(F.col("n") >= LEAST_PAGES).select("h", "tree")
     template = stages.save(template, "template")
     if template.count() <= BROADCAST:
         gone = F.broadcast(template.groupBy("h").agg(F.collect_list("tree").alias("gone")))

@@ -324,6 +324,15 @@ def test_recurring_subtrees_go(spark):
     assert site_template.main_text(pages.limit(0)).count() == 0
 
 
+def test_recurring_subtrees_go_on_large_hosts(spark):
+    part = lambda i: "<div><p>Notice of the section</p></div>" if i < 6 else "<div><p>Twice told</p></div>" if i < 10 else ""
+    rows = [(i, f"http://h.example/{i}", f"<article><p>Text number {i}</p></article>") for i in range(700)]
+    rows += [(1000 + i, f"http://h.example/x{i}", f"<div><p>Page number {i}</p></div>{part(i)}") for i in range(10)]
+    got = {r.page_id: r.text for r in site_template.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[1000 + i] for i in range(6)] == [f"Page number {i}" for i in range(6)]  # 6 of 710 pages are less than one in a hundred
+    assert [got[1000 + i] for i in range(6, 10)] == [f"Page number {i}\nTwice told" for i in range(6, 10)]
+
+
 # 8
 
 
