@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stages
@@ -169,7 +169,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k = slice(first, first + len(some))
             t = [x.astype(np.int32).tobytes() for x in text_features(some)]
             m = [x.astype(np.int32).tobytes() for x in meta_features(lang[k], source[k], n_chars[k])]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(some)), pa.array(t, pa.binary()), pa.array(m, pa.binary())], ["doc_id", "t", "m"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(some)), pa.array(t, pa.binary()), pa.array(m, pa.binary()), b.column(5).slice(first, len(some))], ["doc_id", "t", "m", "key"])
 
 
 _sets = lambda packed: [np.frombuffer(x, np.int32) for x in packed]
@@ -179,11 +179,23 @@ def _scorer(text: View, meta: View):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = [text.logit(_sets(b.column(1).to_pylist())), meta.logit(_sets(b.column(2).to_pylist()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at[0]), pa.array(at[1])], ["doc_id", "text_logit", "meta_logit"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at[0]), pa.array(at[1]), b.column(3)], ["doc_id", "text_logit", "meta_logit", "key"])
 
     return run
 
 
+def _inputs(docs: DataFrame) -> list[Column]:
+    """What the views see of a row, as the types that they take; columns that are missing are null."""
+    columns = [F.col(c).cast(t) if c in docs.columns else F.lit(None).cast(t) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))]
+    return [x.alias(c) for x, c in zip(columns, ("doc_id", "text", "lang", "source", "n_chars"), strict=True)]
+
+
+def _key(docs: DataFrame) -> Column:
+    """Hash of what the views see of a row; a hash passes nulls over, so it is told which they are."""
+    columns = _inputs(docs)
+    return F.xxhash64(*columns, *[x.isNull() for x in columns])
+
+
 def train(docs: DataFrame, labels: DataFrame, stages: Stages, rounds: int = ROUNDS, labelled: int = LABELLED) -> tuple[View, View, float, DataFrame]:
     """Both calibrated views, the prior's logit, and the table of features.
 
@@ -191,8 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, stages: Stages, rounds: int = ROUN
     document, and the GROWTH documents of each class it is surest of join the other view's training rows with the
     weight of its probability.  At most ``labelled`` rows and 4 * GROWTH documents a round reach the driver.
     """
-    columns = [F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))]
-    table = stages.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns[1:4], columns[4].cast("long")).mapInArrow(_features, "doc_id long, t binary, m binary"), "features")
+    table = stages.save(docs.select(*_inputs(docs), _key(docs).alias("key")).mapInArrow(_features, "doc_id long, t binary, m binary, key long"), "features")
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(((F.col("quality") > 0) & (F.coalesce("toxic", F.lit(0)) <= 0)).cast("int")).alias("good"))
     order = F.xxhash64("doc_id", F.lit(7))
     there = good.join(table.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -217,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, stages: Stages, rounds: int = ROUN
         if r == rounds or not len(y):
             break
         least = float(np.log(CONFIDENT / (1 - CONFIDENT)))
-        scored = table.mapInArrow(_scorer(*views), "doc_id long, text_logit double, meta_logit double")
+        scored = table.mapInArrow(_scorer(*views), "doc_id long, text_logit double, meta_logit double, key long").drop("key")
         scored = stages.save(scored.join(good, "doc_id", "left_anti"), "scores")
         sure = None
         for k, name in enumerate(("text_logit", "meta_logit")):
@@ -241,15 +252,19 @@ def score(docs: DataFrame, labels: DataFrame, stages: Stages | None = None, **op
     score >= 0.5.  Null texts are empty, null metadata values of their own; without labels every score is 0.5.
     Repeated rows are scored alike; extra columns are ignored.
     """
+    return _score(docs, labels, stages, **options).drop("key")
+
+
+def _score(docs: DataFrame, labels: DataFrame, stages: Stages | None = None, **options) -> DataFrame:
     stages = stages or Stages(docs.sparkSession, "quality")
     text, meta, prior, table = train(docs, labels, stages, **options)
-    rows = table.mapInArrow(_scorer(text, meta), "doc_id long, text_logit double, meta_logit double")
+    rows = table.mapInArrow(_scorer(text, meta), "doc_id long, text_logit double, meta_logit double, key long")
     p = lambda z: 1 / (1 + F.exp(-z))
-    rows = rows.select("doc_id", p(F.col("text_logit")).alias("text_score"), p(F.col("meta_logit")).alias("meta_score"), p(F.col("text_logit") + F.col("meta_logit") - prior).alias("score"))
+    rows = rows.select("doc_id", "key", p(F.col("text_logit")).alias("text_score"), p(F.col("meta_logit")).alias("meta_score"), p(F.col("text_logit") + F.col("meta_logit") - prior).alias("score"))
     return rows.withColumn("kept", F.col("score") >= 0.5)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps."""
-    bad = score(docs, labels, **options).where("not kept").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` that the classifier keeps, each judged by itself where rows share a doc_id."""
+    bad = _score(docs, labels, **options).where("not kept").select(F.col("doc_id").alias("_bad"), F.col("key").alias("_key")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad")) & (_key(docs) == F.col("_key")), "left_anti")

@@ -139,6 +139,20 @@ def test_classifier_learns_and_scores_all(spark, docs, none):
     assert kept.columns == table.columns and 0 < kept.count() < 500
 
 
+def test_rows_that_share_an_id_are_judged_each(spark):
+    rng = random.Random(9)
+    vocabulary = ["w%d" % i for i in range(400)]
+    make = lambda bad: " ".join(rng.choice(vocabulary) + "***" * bad for _ in range(60))
+    made = [(i, make(i % 2), "en", "a", 100) for i in range(300)]
+    twins = [(i, make(bad), lang, source, 100) for i in (1000, None) for bad in (0, 1) for lang, source in (("en", "a"), (None, "a"), ("a", None))]
+    table = spark.createDataFrame(made + twins + twins[:1], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    score = cotrain_quality.score(table, labels, rounds=0)
+    kept = collections.Counter((r.doc_id, "***" in r.text) for r in cotrain_quality.keep_good(table, labels, rounds=0).where("doc_id is null or doc_id = 1000").collect())
+    assert score.columns == ["doc_id", "text_score", "meta_score", "score", "kept"]
+    assert kept == {(1000, False): 4, (None, False): 3}
+
+
 # 3
 
 
