@@ -15,7 +15,7 @@ from .joins import expand_labels, offsets, spread
 #: Overlap below which a later object is added, and its least size in pixels.
 OVERLAP, LEAST = 0.15, 15
 #: Optical density per channel (red, green, blue) of the two stains, and their residual: fixed values.
-STAINS = ((0.650, 0.704, 0.286), (0.072, 0.990, 0.105), (0.268, 0.570, 0.776))
+STAINS = ((0.6500286, 0.7041680, 0.2860126), (0.0728940, 0.9904310, 0.1155140), (0.2688350, 0.5706770, 0.7768750))
 
 
 class Segmenter(Protocol):
@@ -140,13 +140,14 @@ def adaptive_expand(raster: DataFrame, empty: DataFrame, base: int) -> DataFrame
 
 
 def stains(pixels: DataFrame) -> DataFrame:
-    """Hematoxylin and eosin amounts of ``(r, g, b)`` pixels by the inverse of the stain matrix; column algebra only."""
+    """Hematoxylin (0 at least) and eosin amounts of ``(r, g, b)`` pixels: natural optical densities against the rows of
+    the inverse of the matrix of unit stains; column algebra only."""
     m = np.array(STAINS)
     m = m / np.linalg.norm(m, axis=1, keepdims=True)
     inv = np.linalg.inv(m)
-    od = [-F.log10((F.col(c) + 1) / F.lit(256.0)) for c in ("r", "g", "b")]
-    amount = lambda k: sum((od[i] * float(inv[i, k]) for i in range(1, 3)), od[0] * float(inv[0, k]))
-    return pixels.withColumns({"hematoxylin": amount(0), "eosin": amount(1)})
+    od = [-F.log((F.col(c) + 1) / F.lit(256.0)) for c in ("r", "g", "b")]
+    amount = lambda k: sum((od[i] * float(inv[k, i]) for i in range(1, 3)), od[0] * float(inv[k, 0]))
+    return pixels.withColumns({"hematoxylin": F.greatest(amount(0), F.lit(0.0)), "eosin": amount(1)})
 
 
 def contours(raster: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import image as I
@@ -51,7 +52,7 @@ def _(v: Views):
     return rows.where("j._bad is null").select("event_id", F.col("j.k").alias("k"))
 
 
-@query("c7_shifted_polygons")
+@query("c7_shifted_polygons", sql("points", "SELECT id AS cell_id, [[x + 10, y - 5], [x + 14, y - 5], [x + 14, y - 1], [x + 10, y - 5]] AS ring FROM points"))
 def _(v: Views):
     ring = F.array(*[F.array(F.col("x") + a, F.col("y") + b) for a, b in ((0, 0), (4, 0), (4, 4), (0, 0))])
     return I.shift_rings(v.points().select(F.col("id").alias("cell_id"), ring.alias("ring")), 10.0, -5.0)
@@ -96,7 +97,14 @@ def _(v: Views):
     return I.owned_by_tile(v.points(), 2500.0).select("id", "tx", "ty", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query("n2_stain_separation")
+def _stain_sql() -> str:
+    m = np.array(I.STAINS)
+    inv = np.linalg.inv(m / np.linalg.norm(m, axis=1, keepdims=True)).tolist()
+    amount = [" + ".join(f"-ln(({c} + 1) / 256.0::DOUBLE) * ({x!r}::DOUBLE)" for c, x in zip("rgb", inv[k], strict=True)) for k in (0, 1)]
+    return f"SELECT id, round(greatest({amount[0]}, 0), 6) AS hematoxylin, round({amount[1]}, 6) AS eosin FROM px"
+
+
+@query("n2_stain_separation", sql("", _stain_sql(), px="SELECT c_custkey AS id, c_custkey * 7 % 200 + 30 AS r, c_custkey * 11 % 180 + 20 AS g, c_custkey * 13 % 190 + 40 AS b FROM customer"))
 def _(v: Views):
     k = F.col("c_custkey")
     px = v.table("customer").select(k.alias("id"), (k * 7 % 200 + 30).alias("r"), (k * 11 % 180 + 20).alias("g"), (k * 13 % 190 + 40).alias("b"))
