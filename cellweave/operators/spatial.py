@@ -39,22 +39,33 @@ def within_any(points: DataFrame, anchors: DataFrame, r: float) -> DataFrame:
 def nearest(a: DataFrame, b: DataFrame, first: float) -> DataFrame:
     """``id, near, distance`` of the nearest point of ``b`` to each of ``a``, ties by id.
 
-    With grid cells of size g every point within g lies in the 3 x 3 cells around; what finds none so near tries again
-    with four times the size, on the points left.  Ends as b's extent is covered; an empty b gives no rows.
+    Grids have cells of size ``first``, four times that, and so on, out to the extent.  Each point takes the finest grid
+    in which a point of b lies in the 3 x 3 cells around: the nearest is then closer than three cells, so that the 7 x 7
+    cells around hold it.  One plan of equi joins; a null coordinate or an empty b gives no row.
     """
-    ends = b.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    reach = a.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    if not ends.n or reach.x0 is None:
-        return a.select("id", F.lit(None).cast("long").alias("near"), F.lit(None).cast("double").alias("distance")).limit(0)
-    span = max(max(ends.x1, reach.x1) - min(ends.x0, reach.x0), max(ends.y1, reach.y1) - min(ends.y0, reach.y0)) * 1.5 + 1e-9
-    size, left, out = first, a.select("id", "x", "y"), None
-    while True:
-        found = radius_pairs(left, b, size).groupBy("id").agg(F.min(F.struct("d2", "other")).alias("m")).select("id", F.col("m.other").alias("near"), F.sqrt("m.d2").alias("distance"))
-        out = found if out is None else out.union(found)
-        if size >= span:
-            return out
-        left = left.join(found.select("id"), "id", "left_anti")
-        size = min(size * 4, max(span, size * 1.0001))
+    ends = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
+    of_b, of_a = b.agg(*ends).first(), a.agg(*ends).first()
+    known = [r for r in (of_a, of_b) if None not in r]
+    span = max([0.0] + [max(r[1] for r in known) - min(r[0] for r in known), max(r[3] for r in known) - min(r[2] for r in known)]) if len(known) == 2 else 0.0
+    sizes = [float(first)]
+    while sizes[-1] < span:
+        sizes.append(sizes[-1] * 4)
+    grids = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate(sizes)])).alias("_g")
+
+    def placed(df: DataFrame, reach: int) -> DataFrame:
+        r = range(-reach, reach + 1)
+        df = df.withColumn("_o", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in r for j in r]))) if reach else df.withColumn("_o", F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
+        return df.withColumns({"_k": F.col("_g.k"), "_gx": F.floor(F.col("x") / F.col("_g.s")) + F.col("_o.i"), "_gy": F.floor(F.col("y") / F.col("_g.s")) + F.col("_o.j")}).drop("_o")
+
+    at = ["_k", "_gx", "_gy"]
+    there = placed(b.select("id", "x", "y").select("*", grids), 0)
+    own = a.select("id", "x", "y")
+    hit = placed(own.select("*", grids), 1).join(there.select(*at).distinct(), at, "left_semi")
+    finest = hit.groupBy("id", "x", "y").agg(F.min("_g").alias("_g"))
+    pairs = placed(finest, 3).join(there.select(*at, F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy")), at)
+    d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
+    best = pairs.groupBy("id").agg(F.min(F.struct(d2.alias("d2"), "other")).alias("m"))
+    return best.select("id", F.col("m.other").alias("near"), F.sqrt("m.d2").alias("distance"))
 
 
 def neighbourhoods(points: DataFrame, focal: str, r: float, least: int = 50) -> DataFrame:
