@@ -86,13 +86,7 @@ def _(v: Views):
     return metrics(v).where(C.qc_pass(20, 8000, 5, 60, 0)).select("cell_id", "total", "n_genes")
 
 
-@query("d5_gene_filter", sql("counts", "SELECT gene_id, count(*) AS n_cells, sum(value) AS total FROM counts WHERE value > 0 AND cell_id % 2 = 0 GROUP BY 1 HAVING count(*) >= 12"))
-def _(v: Views):
-    kept = C.filter_genes(v.counts().where("cell_id % 2 = 0"), 12)
-    return kept.where("value > 0").groupBy("gene_id").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("value").alias("total"))
-
-
-@query("d5_gene_filter_all")
+@query("d5_gene_filter", sql("counts", "SELECT gene_id, count(*) AS n_cells, sum(value) AS total FROM counts WHERE value > 0 GROUP BY 1 HAVING count(*) >= 12"))
 def _(v: Views):
     kept = C.filter_genes(v.counts(), 12)
     return kept.where("value > 0").groupBy("gene_id").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("value").alias("total"))
@@ -182,7 +176,7 @@ def _(v: Views):
 
 @query("f31_method_means", sql("bins cells", "SELECT method, round(avg(total), 6) AS mean_total, round(avg(n), 6) AS mean_n FROM (SELECT method, site, sum(value) AS total, count(*) AS n FROM bins JOIN cells USING (cell_id) GROUP BY 1, 2) GROUP BY 1"))
 def _(v: Views):
-    per = v.bins().join(F.broadcast(v.cells()), "cell_id").groupBy("method", "site").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
+    per = v.bins().join(v.cells(), "cell_id").groupBy("method", "site").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
     return per.groupBy("method").agg(F.round(F.avg("total"), 6).alias("mean_total"), F.round(F.avg("n"), 6).alias("mean_n"))
 
 

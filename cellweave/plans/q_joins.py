@@ -29,7 +29,7 @@ _PER = "SELECT method, site, sum(value) AS {0} FROM bins JOIN cells USING (cell_
 
 @query("e4_composite_key_left_join", sql("bins cells", "SELECT a.method, a.site, total, high FROM a LEFT JOIN b ON a.method = b.method AND a.site = b.site", a=_PER.format("total", "true"), b=_PER.format("high", "value > 49")))
 def _(v: Views):
-    t = v.bins().join(F.broadcast(v.cells()), "cell_id")
+    t = v.bins().join(v.cells(), "cell_id")
     per = lambda df, name: df.groupBy("method", "site").agg(F.sum("value").alias(name))
     return per(t, "total").join(per(t.where("value > 49"), "high"), ["method", "site"], "left")
 
@@ -200,9 +200,9 @@ def _(v: Views):
     return J.upsert(v.table("region").select("r_regionkey", "r_name"), new, "r_regionkey")
 
 
-@query("i7_ordered_distinct", "SELECT vec_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(l), lambda x: {'p': list_position(l, x), 'x': x})), lambda s: s.x), ',') AS kinds FROM (SELECT vec_id, list_transform(embedding[1:12], lambda x: CAST(floor(x * 3) AS INTEGER)) AS l FROM embeddings)")
+@query("i7_ordered_distinct", "SELECT vec_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(l), lambda x: {'p': list_position(l, x), 'x': x})), lambda s: s.x), ',') AS kinds FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(x * 3) AS INTEGER)) AS l FROM embeddings)")
 def _(v: Views):
-    e = F.array_distinct(F.transform(F.slice("embedding", 1, 12), lambda x: F.floor(x * 3).cast("int")))
+    e = F.array_distinct(F.transform("embedding", lambda x: F.floor(x * 3).cast("int")))
     return v.table("embeddings").select("vec_id", F.array_join(F.transform(e, lambda x: x.cast("string")), ",").alias("kinds"))
 
 

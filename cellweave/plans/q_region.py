@@ -126,7 +126,7 @@ def _(v: Views):
 
 @query("c14_long_to_wide", sql("bins cells", "SELECT roi, sum(value) FILTER (method = 'A') AS a, sum(value) FILTER (method = 'N') AS n, sum(value) FILTER (method = 'R') AS r FROM bins JOIN cells USING (cell_id) GROUP BY 1"))
 def _(v: Views):
-    t = v.bins().join(F.broadcast(v.cells().select("cell_id", "roi")), "cell_id").groupBy("roi").pivot("method", ["A", "N", "R"]).agg(F.sum("value"))
+    t = v.bins().join(v.cells().select("cell_id", "roi"), "cell_id").groupBy("roi").pivot("method", ["A", "N", "R"]).agg(F.sum("value"))
     return t.select("roi", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r"))
 
 

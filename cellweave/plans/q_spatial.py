@@ -69,12 +69,15 @@ def _(v: Views):
     return out
 
 
-@query("g16_sliding_window", sql("points", "SELECT wr, wc, n, 3 * least(a, b, c) + n AS score FROM (SELECT wr * 500 AS wr, wc * 500 AS wc, count(DISTINCT id) AS n, count(DISTINCT id) FILTER (subtype = 'BUILDING') AS a, count(DISTINCT id) FILTER (subtype = 'MACHINERY') AS b, count(DISTINCT id) FILTER (subtype = 'FURNITURE') AS c FROM points JOIN (SELECT unnest(range(0, 21)) AS wr) ON y >= wr * 500 AND y < wr * 500 + 2000 JOIN (SELECT unnest(range(0, 21)) AS wc) ON x >= wc * 500 AND x < wc * 500 + 2000 GROUP BY 1, 2) WHERE n >= 30 AND least(a, b, c) > 0"))
+_WINDOWS = "SELECT wr, wc, n, 3 * least(a, b, c) + n AS score FROM (SELECT wr * 500 AS wr, wc * 500 AS wc, count(DISTINCT id) AS n, count(DISTINCT id) FILTER (subtype = 'BUILDING') AS a, count(DISTINCT id) FILTER (subtype = 'MACHINERY') AS b, count(DISTINCT id) FILTER (subtype = 'FURNITURE') AS c FROM points JOIN (SELECT unnest(range(0, 21)) AS wr) ON y >= wr * 500 AND y < wr * 500 + 2000 JOIN (SELECT unnest(range(0, 21)) AS wc) ON x >= wc * 500 AND x < wc * 500 + 2000 GROUP BY 1, 2) WHERE n >= 30 AND least(a, b, c) > 0"
+
+
+@query("g16_sliding_window", sql("points", _WINDOWS))
 def _(v: Views):
     return P.sliding_windows(v.points(), 2000, 500, ["BUILDING", "MACHINERY", "FURNITURE"], 30)
 
 
-@query("g16b_best_window")
+@query("g16b_best_window", sql("points", "SELECT arg_min(wr, {'s': -score, 'r': wr, 'c': wc}) AS wr, arg_min(wc, {'s': -score, 'r': wr, 'c': wc}) AS wc, max(score) AS score FROM w", w=_WINDOWS))
 def _(v: Views):
     return P.best_window(P.sliding_windows(v.points(), 2000, 500, ["BUILDING", "MACHINERY", "FURNITURE"], 30))
 

@@ -14,7 +14,7 @@ _SITE = "SELECT method, site, sum(value) AS total FROM bins JOIN cells USING (ce
 
 
 def per_site(v: Views):
-    return v.bins().join(F.broadcast(v.cells()), "cell_id").groupBy("method", "site").agg(F.sum("value").alias("total"))
+    return v.bins().join(v.cells(), "cell_id").groupBy("method", "site").agg(F.sum("value").alias("total"))
 
 
 def _rank(value: str, by: str, src: str) -> str:
@@ -22,13 +22,7 @@ def _rank(value: str, by: str, src: str) -> str:
     return f"SELECT *, rank() OVER ({part} ORDER BY {value}) + (count(*) OVER (PARTITION BY {by + ', ' if by else ''}{value}) - 1) / 2.0 AS r FROM {src}"
 
 
-@query("g1_average_ranks", sql("pixels", 'SELECT "row", col, value, CAST(r AS DOUBLE) AS r FROM t', s='SELECT "row", col, max(value) AS value FROM pixels WHERE gene_id < 20 GROUP BY 1, 2', t=_rank("value", "col", "s")))
-def _(v: Views):
-    t = v.pixels().where("gene_id < 20").groupBy("row", "col").agg(F.max("value").alias("value"))
-    return t.withColumn("r", T.average_rank("value", ["col"]).cast("double"))
-
-
-@query("g1_average_ranks_all")
+@query("g1_average_ranks", sql("pixels", 'SELECT "row", col, value, CAST(r AS DOUBLE) AS r FROM t', s='SELECT "row", col, max(value) AS value FROM pixels GROUP BY 1, 2', t=_rank("value", "col", "s")))
 def _(v: Views):
     t = v.pixels().groupBy("row", "col").agg(F.max("value").alias("value"))
     return t.withColumn("r", T.average_rank("value", ["col"]).cast("double"))
@@ -72,7 +66,7 @@ def _(v: Views):
 
 @query("g17_min_max", sql("bins cells", "SELECT method, site, round((total - min(total) OVER ()) / (max(total) OVER () - min(total) OVER ()), 6) AS a, round(1 - (n - min(n) OVER ()) / CAST(max(n) OVER () - min(n) OVER () AS DOUBLE), 6) AS b FROM (SELECT method, site, sum(value) AS total, count(*) AS n FROM bins JOIN cells USING (cell_id) GROUP BY 1, 2)"))
 def _(v: Views):
-    t = v.bins().join(F.broadcast(v.cells()), "cell_id").groupBy("method", "site").agg(F.sum("value").alias("a"), F.count(F.lit(1)).cast("double").alias("b"))
+    t = v.bins().join(v.cells(), "cell_id").groupBy("method", "site").agg(F.sum("value").alias("a"), F.count(F.lit(1)).cast("double").alias("b"))
     return T.min_max(t, ["a", "b"], ("b",)).select("method", "site", r6("a"), r6("b"))
 
 
@@ -132,7 +126,7 @@ _NORMS = (
 
 def metric_rows(v: Views):
     n = F.count(F.lit(1))
-    t = v.bins().join(F.broadcast(v.cells()), "cell_id").groupBy("method", F.col("site").alias("roi")).agg(
+    t = v.bins().join(v.cells(), "cell_id").groupBy("method", F.col("site").alias("roi")).agg(
         (F.sum(F.col("in_tissue").cast("int")) / n).alias("a1_capture"), (F.sum("value") / F.countDistinct("gene_id")).alias("a1_umi_density"),
         (F.percentile("value", 0.5) * 12).alias("a2_median_umi"), (F.percentile("value", 0.75) * 5).alias("a3_median_genes"), n.alias("n"),
     )

@@ -50,32 +50,10 @@ def test_runs(spark, small, name):
     assert df.columns and df.count() >= 0
 
 
-#: Queries over whole tables, and the filter of the SQL of their namesakes that they do without.
-WHOLE = {
-    "k11_rank_sum_markers": " WHERE gene_id % 10 = 0",
-    "l6_nearest_vectors": " WHERE a.id % 5 = 0",
-    "g1_average_ranks": " WHERE gene_id < 20",
-    "g14_highest_group": " WHERE gene_id % 9 = 0",
-}
-
-
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_whole_tables(spark, small, duck, name):
-    assert WHOLE[name] in ORACLE_SQL[name]
-    df = QUERIES[f"{name}_all"](spark, small)
-    found = duck.execute(ORACLE_SQL[name].replace(WHOLE[name], ""))
-    columns = [c[0] for c in found.description]
-    order = sorted(columns)
-    want = sorted((tuple(plain(r[columns.index(c)]) for c in order) for r in found.fetchall()), key=repr)
-    got = sorted((tuple(plain(r[c]) for c in order) for r in df.select(*order).collect()), key=repr)
-    assert len(got) == len(want) > 0
-    assert [(a, b) for a, b in zip(got, want, strict=True) if not all(map(close, a, b))] == []
-
-
 def test_gene_filter_takes_all_cells(spark, tmp_path):
     rows = [(c, g, 1.0 + c) for g in range(8) for c in range(8 + g)]
     spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {r.gene_id: (r.n_cells, r.total) for r in QUERIES["d5_gene_filter_all"](spark, str(tmp_path)).collect()}
+    got = {r.gene_id: (r.n_cells, r.total) for r in QUERIES["d5_gene_filter"](spark, str(tmp_path)).collect()}
     assert got == {g: (8 + g, sum(1.0 + c for c in range(8 + g))) for g in range(4, 8)}
 
 
