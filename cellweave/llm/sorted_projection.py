@@ -19,8 +19,10 @@ WINDOW = 128
 MISS = 1e-4
 #: Passes that one job runs.
 BATCH = 4
-#: Vectors in one block of the comparison within components.
-BLOCK = 256
+#: Share of all links that may be unseen, by estimate, as the passes end.
+UNSEEN = 1e-3
+#: Vectors in one block of the comparison within components, and the rows of a block that are compared at once.
+BLOCK, STRIP = 2048, 256
 BITS = 62
 #: Links, and the rows at the ends of a task.
 ENDS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("task", pa.int32()), ("tail", pa.bool_()), ("pass", pa.int32()), ("part", pa.int64()), ("code", pa.int64()), ("many", pa.int64()), ("at", pa.int32()), ("cls", pa.int64()), ("embedding", pa.list_(pa.float64()))])
@@ -28,7 +30,7 @@ ENDS_SQL = "a long, b long, task int, tail boolean, pass int, part long, code lo
 
 
 def passes_for(most: int, cosine: float, window: int = WINDOW, miss: float = MISS) -> int:
-    """Passes until a pair at the threshold is missed with probability ``miss``.
+    """Passes until a pair at the threshold is missed with probability ``miss``, if hyperplanes part labels evenly.
 
     Each random hyperplane parts such a pair with probability angle / pi.  In a pass the pair is found if its codes
     agree until fewer than ``window`` vectors share the prefix, after log2(most / window) bits.
@@ -38,6 +40,11 @@ def passes_for(most: int, cosine: float, window: int = WINDOW, miss: float = MIS
     return max(1, math.ceil(math.log(1 / miss) / -math.log(1 - found))) if found < 1 - 1e-9 else 1
 
 
+def unseen(once: int, twice: int) -> float:
+    """Links that no pass has found, by Chao's estimate from those that one and two passes have found."""
+    return once * (once - 1) / (2 * (twice + 1))
+
+
 def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     size = len(column)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -154,11 +161,17 @@ def _block_links(cosine: float):
         block, cls, many = (table.column(c).to_numpy() for c in ("block", "cls", "many"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        link = x[a] @ x[b].T >= cosine
+        of_a, of_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        for lo in range(0, len(a), STRIP):
+            rows = a[lo : lo + STRIP]
+            link = x[rows] @ x[b].T >= cosine
+            if i == j:
+                link[np.arange(len(rows)), np.arange(lo, lo + len(rows))] = False
+            of_a[lo : lo + STRIP] = link @ many[b]
+            of_b += many[rows] @ link
         if i == j:
-            np.fill_diagonal(link, False)
-            return pa.table({"cls": cls[a], "links": (link @ many[b]).astype(np.int64)})
-        return pa.table({"cls": np.concatenate([cls[a], cls[b]]), "links": np.concatenate([link @ many[b], link.T @ many[a]]).astype(np.int64)})
+            return pa.table({"cls": cls[a], "links": of_a})
+        return pa.table({"cls": np.concatenate([cls[a], cls[b]]), "links": np.concatenate([of_a, of_b])})
 
     return run
 
@@ -171,8 +184,9 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.93, window: int = WINDOW,
     vectors are one class, which passes treat as one vector; repeated rows count as other vectors.
 
     A pass orders the vectors of each label by the concatenated signs of random projections and compares each with
-    the ``window`` next in order; the number of passes follows from the largest label (``passes_for``).  Links of all
-    passes are united to components.  The window bounds partners, so within each component all blocks of vectors are
+    the ``window`` next in order.  There are as many passes as the largest label needs if the projections part it evenly
+    (``passes_for``); in dense clouds they don't, so passes go on until the links that one and two passes have found tell
+    that UNSEEN of all links or fewer are still unseen.  Links of all passes are united to components.  The window bounds partners, so within each component all blocks of vectors are
     then compared, which makes n_links exact for the components found.  The last rows before each task's range are
     compared with its first rows, however short the ranges are, so a pass compares every window.
     """
@@ -188,9 +202,10 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.93, window: int = WINDOW,
     most = classes.groupBy("part").count().agg(F.max("count")).first()[0] or 0
     total = passes_for(most, cosine, window)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    links = None
-    for p in range(0, total, BATCH):
-        coded = classes.select("part", "cls", "embedding").mapInArrow(_codes(p, min(BATCH, total - p), seed), "pass int, part long, code long, cls long, embedding array<double>")
+    links, p = None, 0
+    while True:
+        many = BATCH if p >= total else min(BATCH, total - p)
+        coded = classes.select("part", "cls", "embedding").mapInArrow(_codes(p, many, seed), "pass int, part long, code long, cls long, embedding array<double>")
         # saved, since finding the ranges reads the rows a second time
         coded = stages.save(coded, "codes")
         near = coded.repartitionByRange(parts, "pass", "part", "code").sortWithinPartitions("pass", "part", "code", "cls").mapInArrow(_windows(cosine, window), ENDS_SQL)
@@ -203,10 +218,15 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.93, window: int = WINDOW,
             late = ends.where("tail").join(plan, "task").select("seam", "tail", (F.col("gap") + F.col("at")).alias("far"), "cls", "embedding").where(F.col("far") < window)
             early = ends.where("not tail").join(plan.select("seam").distinct(), F.col("task") == F.col("seam")).select("seam", "tail", F.col("at").cast("long").alias("far"), "cls", "embedding")
             found = found.union(late.union(early).groupBy("seam").applyInArrow(_seam_links(cosine, window), "a long, b long"))
-        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        after = stages.save((found if links is None else found.union(links)).distinct(), "links")
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).cast("long").alias("times"))
+        after = (found if links is None else found.union(links)).groupBy("a", "b").agg(F.sum("times").alias("times"))
+        after = stages.save(after, "links")
         stages.drop(coded, near, links)
-        links = after
+        links, p = after, p + many
+        if p >= total:
+            seen = links.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("times") == 1).alias("once"), F.count_if(F.col("times") == 2).alias("twice")).first()
+            if total == 1 or unseen(seen.once, seen.twice) <= UNSEEN * seen["all"]:  # one pass compares all with all
+                break
     comp = stages.save(components(stages, links), "components")
     both = comp.union(comp.select(F.col("component").alias("id"), "component").distinct())
     both = both.distinct()
