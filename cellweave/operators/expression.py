@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import log_normal, num, per_million
+from .stats import benjamini_hochberg, normal_tail
 
 
 def cell_totals(counts: DataFrame) -> DataFrame:
@@ -102,9 +103,11 @@ def fold_change_markers(counts: DataFrame, groups: DataFrame, least: float = 0.0
     return m.select("grp", "gene_id", F.when(F.col("p_in") / F.col("n_in") >= least, diff).otherwise(num(0)).alias("score"))
 
 
-def rank_sum_markers(counts: DataFrame, groups: DataFrame) -> DataFrame:
+def rank_sum_markers(counts: DataFrame, groups: DataFrame, absent: bool = False) -> DataFrame:
     """Wilcoxon rank sums of each group against the rest, by gene: ``grp, gene_id, u, z, log_fc``.
 
+    Genes that no cell of a group has are left out of the group unless ``absent`` is set.
+
     Ranks run over the stored non-negative values of a gene.  Its zeros are one tie block at the bottom: n0 cells with
     the rank (n0 + 1) / 2, so stored ranks shift by n0 and nothing is densified.  z has the tie correction.
     """
@@ -117,6 +120,8 @@ def rank_sum_markers(counts: DataFrame, groups: DataFrame) -> DataFrame:
     stored = tie.groupBy("gene_id").agg(F.sum("t").alias("nnz"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     own = c.join(ranked.select("gene_id", "value", "r"), ["gene_id", "value"]).groupBy("grp", "gene_id").agg(F.sum("r").alias("rs"), F.count(F.lit(1)).alias("k"), F.sum("value").alias("s_in"))
     total = c.groupBy("gene_id").agg(F.sum("value").alias("s_all"))
+    if absent:  # groups times genes
+        own = stored.select("gene_id").crossJoin(F.broadcast(sizes.select("grp"))).join(own, ["grp", "gene_id"], "left").fillna(0, ["rs", "k", "s_in"])
     m = own.join(stored, "gene_id").join(total, "gene_id").join(F.broadcast(sizes), "grp")
     n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
     n2, n0 = n - n1, n - F.col("nnz")
@@ -128,6 +133,19 @@ def rank_sum_markers(counts: DataFrame, groups: DataFrame) -> DataFrame:
     return m.select("grp", "gene_id", u.alias("u"), F.when(sd > 0, (u - n1 * n2 / 2) / sd).otherwise(num(0)).alias("z"), fold.alias("log_fc"))
 
 
+def marker_table(counts: DataFrame, groups: DataFrame, names: DataFrame, top: int = 20) -> DataFrame:
+    """``cluster, gene, score, logFC, pval_adj``: the ``top`` genes of each group by rank-sum score, ties by gene id.
+
+    p values are two-sided normal tails, adjusted by Benjamini and Hochberg over all genes of the group; a gene that no
+    cell of the group has takes part with its own score.  ``names(gene_id, name)``.
+    """
+    m = rank_sum_markers(counts, groups, absent=True)
+    m = m.withColumn("p", F.pandas_udf(normal_tail, "double")(F.col("z")))
+    nth = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("z"), "gene_id"))
+    best = benjamini_hochberg(m, "p", ["grp"]).withColumn("_n", nth).where(F.col("_n") <= top)
+    return best.join(names, "gene_id").select(F.col("grp").alias("cluster"), F.col("name").alias("gene"), F.col("z").alias("score"), F.col("log_fc").alias("logFC"), F.col("q").alias("pval_adj"))
+
+
 def expression_value(counts: DataFrame, genes: DataFrame, n_genes: int) -> DataFrame:
     """Mean over the chosen genes of log1p of the raw counts; cells without them are absent (0)."""
     return counts.join(genes, "gene_id", "left_semi").groupBy("cell_id").agg((F.sum(F.log1p("value")) / n_genes).alias("value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -150,6 +151,53 @@ def stains(pixels: DataFrame) -> DataFrame:
     return pixels.withColumns({"hematoxylin": F.greatest(amount(0), F.lit(0.0)), "eosin": amount(1)})
 
 
+def ellipse(size: int) -> list[tuple[int, int]]:
+    """Offsets of an elliptic structuring element of odd ``size``."""
+    r = size // 2
+    return [(dy, dx) for dy in range(-r, r + 1) for reach in [round(r * ((r * r - dy * dy) / (r * r)) ** 0.5)] for dx in range(-reach, reach + 1)]
+
+
+def dilate(pixels: DataFrame, shape: list[tuple[int, int]], box: tuple[int, int]) -> DataFrame:
+    """``row, col`` of all pixels of a box of (rows, columns) that ``shape`` reaches from a pixel."""
+    near = spread(pixels.select("row", "col"), shape).select(F.col("nrow").alias("row"), F.col("ncol").alias("col")).distinct()
+    return near.where((F.col("row") >= 0) & (F.col("row") < box[0]) & (F.col("col") >= 0) & (F.col("col") < box[1]))
+
+
+def tissue_mask(pixels: DataFrame, box: tuple[int, int], limit: int = 220) -> DataFrame:
+    """``row, col`` of the tissue in ``pixels(row, col, r, g, b)``: grey below ``limit``, closed by an 11 ellipse, dilated twice by a 5 one.
+
+    A pixel stays in the closing unless the shape around it holds a pixel of the box that the dilation left out.
+    """
+    grey = F.round(0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b"))
+    grown = dilate(pixels.where(grey < limit), ellipse(11), box)
+    left = pixels.select("row", "col").join(grown, ["row", "col"], "left_anti")
+    closed = grown.join(dilate(left, ellipse(11), box), ["row", "col"], "left_anti")
+    return dilate(dilate(closed, ellipse(5), box), ellipse(5), box)
+
+
+def stain_vectors(pixels: DataFrame, light: float = 240.0, beta: float = 0.15, least: int = 100) -> np.ndarray | None:
+    """Unit optical densities of the two stains in ``pixels(r, g, b)``, hematoxylin first; None with too few stained pixels.
+
+    The plane of the two largest axes of the covariance holds the stains; they lie at the 1st and 99th percentile of the
+    angle in it.  Moments and percentiles are aggregates; only a 3 x 3 matrix and two angles reach the driver.
+    """
+    for floor in (beta, 0.05):
+        od = pixels.select(*[(-F.log((F.col(c) + 1) / (light + 1))).alias(c) for c in ("r", "g", "b")])
+        od = od.where((F.col("r") >= floor) & (F.col("g") >= floor) & (F.col("b") >= floor))
+        pairs = [(x, y) for x in "rgb" for y in "rgb"]
+        m = od.agg(F.count(F.lit(1)).alias("n"), *[F.covar_samp(x, y).alias(x + y) for x, y in pairs]).first()
+        if m.n >= least:
+            break
+    else:
+        return None
+    axes = np.linalg.eigh(np.array([m[x + y] for x, y in pairs]).reshape(3, 3))[1][:, [2, 1]]
+    at = lambda k: sum((F.col(c) * float(axes[i, k]) for i, c in enumerate("gb", 1)), F.col("r") * float(axes[0, k]))
+    lo, hi = od.agg(F.percentile(F.atan2(at(1), at(0)), F.array(F.lit(0.01), F.lit(0.99)))).first()[0]
+    ends = np.stack([axes @ [math.cos(a), math.sin(a)] for a in (lo, hi)])
+    ends = ends if ends[0, 0] > ends[1, 0] else ends[::-1]
+    return ends / np.linalg.norm(ends, axis=1, keepdims=True)
+
+
 def contours(raster: DataFrame) -> DataFrame:
     """``cell_id, ring``: the largest closed outline of each cell along pixel edges, one task per group of cells."""
 

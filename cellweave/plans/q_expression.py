@@ -83,6 +83,11 @@ def _(v: Views):
     return M.dispersion_genes(X.normalised(v.counts()), n_cells(v), 200)
 
 
+@query("l1_regularised_genes")
+def _(v: Views):
+    return M.regularised_genes(v.counts(), n_cells(v), 200)
+
+
 @query("g5_top_per_group", sql("counts cells", "SELECT grp, gene_id, nth FROM (SELECT grp, gene_id, CAST(row_number() OVER (PARTITION BY grp ORDER BY round(mean, 9) DESC, gene_id) AS INTEGER) AS nth FROM m) WHERE nth <= 10", g=GRP, m=_MEANS))
 def _(v: Views):
     m = X.group_means(v.counts(), groups(v)).withColumn("score", F.round("mean", 9))
@@ -120,6 +125,11 @@ def _(v: Views):
     return X.rank_sum_markers(v.counts(), groups(v)).select("grp", "gene_id", F.round("u", 4).alias("u"), F.round("z", 4).alias("z"))
 
 
+@query("b4_marker_table")
+def _(v: Views):
+    return X.marker_table(v.counts(), groups(v), v.genes().select("gene_id", "name"), 20)
+
+
 @query("n9_expression_value", sql("counts genes", "SELECT cell_id, round(sum(ln(1 + value)) / (SELECT count(*) FROM genes WHERE brand = 'Brand#13'), 6) AS value FROM counts WHERE gene_id IN (SELECT gene_id FROM genes WHERE brand = 'Brand#13') GROUP BY 1"))
 def _(v: Views):
     pick = v.genes().where("brand = 'Brand#13'")
@@ -192,6 +202,13 @@ def _(v: Views):
     return M.cluster_graph(near.select(F.col("id").alias("src"), F.col("near").alias("dst"), F.lit(1.0).alias("weight")), [0.3, 1.0])
 
 
+@query("l10_resolution_search")
+def _(v: Views):
+    vectors = v.vectors()
+    near = M.nearest_vectors(vectors, vectors, 10).select(F.col("id").alias("src"), F.col("near").alias("dst"), F.lit(1.0).alias("weight"))
+    return v.spark.createDataFrame([M.resolution_for(near, 8)], "resolution double, clusters int")
+
+
 @query("l11_kmeans")
 def _(v: Views):
     return M.kmeans(v.vectors(), 5, 42)

@@ -208,8 +208,10 @@ def _(v: Views):
 
 @query("a6_boundaries_by_id", sql("points", "SELECT id, x, y FROM points WHERE subtype IN (SELECT DISTINCT subtype FROM points WHERE x BETWEEN 9000 AND 9300)"))
 def _(v: Views):
-    hit = v.points().where(F.col("x").between(9000, 9300)).select("subtype").distinct()
-    return v.points().join(hit, "subtype", "left_semi").select("id", "x", "y")
+    from ..sources.tables import with_vertex_in
+
+    p = v.points().select("id", F.col("subtype").alias("cell_id"), F.col("x").alias("vertex_x"), F.col("y").alias("vertex_y"))
+    return with_vertex_in(p, (9000, float("-inf"), 9300, float("inf"))).select("id", F.col("vertex_x").alias("x"), F.col("vertex_y").alias("y"))
 
 
 @query("b11_sparse_indptr", sql("counts", "SELECT cell_id, nnz, CAST(coalesce(sum(nnz) OVER (ORDER BY cell_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS indptr FROM (SELECT cell_id, count(*) AS nnz FROM counts GROUP BY 1)"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import image as I
 from ..operators import joins as J
+from ..sources import tables as S
 from ..streaming import ingest
 from .registry import query
 from .views import Views, sql
@@ -14,7 +15,11 @@ from .views import Views, sql
 
 @query("a2_positions_in_tissue", "SELECT l_partkey, l_suppkey, l_extendedprice AS x FROM lineitem WHERE l_linestatus = 'O' AND l_quantity >= 45")
 def _(v: Views):
-    return v.table("lineitem").where("l_linestatus = 'O' AND l_quantity >= 45").select("l_partkey", "l_suppkey", F.col("l_extendedprice").alias("x"))
+    ids = F.concat_ws("-", "l_partkey", "l_suppkey").alias("barcode")
+    tissue = ((F.col("l_linestatus") == "O") & (F.col("l_quantity") >= 45)).cast("int").alias("in_tissue")
+    p = v.table("lineitem").select(ids, tissue, F.col("l_extendedprice").alias("pxl_row_in_fullres"), F.col("l_tax").alias("pxl_col_in_fullres"))
+    key = F.split("barcode", "-")
+    return S.positions_of(p).select(F.get(key, F.lit(0)).cast("long").alias("l_partkey"), F.get(key, F.lit(1)).cast("long").alias("l_suppkey"), F.col("pxl_row_in_fullres").alias("x"))
 
 
 @query("a3_column_list_scan", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1")
@@ -24,14 +29,16 @@ def _(v: Views):
 
 @query("a4_cells_with_string_ids", "SELECT CAST(s_suppkey AS VARCHAR) AS cell_id, s_acctbal AS x, n_name AS site FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def _(v: Views):
-    s = v.table("supplier").join(v.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return s.select(F.col("s_suppkey").cast("string").alias("cell_id"), F.col("s_acctbal").alias("x"), F.col("n_name").alias("site"))
+    s = v.table("supplier").select(F.col("s_suppkey").alias("cell_id"), F.col("s_acctbal").alias("x_centroid"), F.lit(0.0).alias("y_centroid"), F.col("s_nationkey").alias("cell_area"))
+    n = v.table("nation").select(F.col("n_nationkey").alias("cell_area"), F.col("n_name").alias("site"))
+    return S.cells_of(s).join(n, "cell_area").select("cell_id", F.col("x_centroid").alias("x"), "site")
 
 
 @query("a5_transcripts_in_box", "SELECT l_orderkey, l_partkey, l_extendedprice AS x, l_discount AS y FROM lineitem WHERE l_extendedprice >= 30000 AND l_extendedprice < 42000 AND l_discount >= 0.02 AND l_discount < 0.06")
 def _(v: Views):
-    x, y = F.col("l_extendedprice"), F.col("l_discount")
-    return v.table("lineitem").where((x >= 30000) & (x < 42000) & (y >= 0.02) & (y < 0.06)).select("l_orderkey", "l_partkey", x.alias("x"), y.alias("y"))
+    t = v.table("lineitem").select(F.concat_ws("-", "l_orderkey", "l_partkey").alias("feature_name"), F.col("l_extendedprice").alias("x_location"), F.col("l_discount").alias("y_location"))
+    key = F.split("feature_name", "-")
+    return S.in_box(t, (30000, 0.02, 42000, 0.06)).select(F.get(key, F.lit(0)).cast("long").alias("l_orderkey"), F.get(key, F.lit(1)).cast("long").alias("l_partkey"), F.col("x_location").alias("x"), F.col("y_location").alias("y"))
 
 
 @query("a8_gene_list", sql("genes counts", "SELECT DISTINCT name FROM genes JOIN counts USING (gene_id)"))
@@ -48,8 +55,7 @@ def _(v: Views):
 @query("a16_log_lines", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 7 <> 0")
 def _(v: Views):
     text = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{broken "), F.col("props"))).otherwise(F.col("props"))
-    rows = v.table("events").select("event_id", F.from_json(text, "k long, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("j"))
-    return rows.where("j._bad is null").select("event_id", F.col("j.k").alias("k"))
+    return S.parsed_lines(v.table("events").select("event_id", text.alias("line")), "line", "k long").select("event_id", F.col("row.k").alias("k"))
 
 
 @query("c7_shifted_polygons", sql("points", "SELECT id AS cell_id, [[x + 10, y - 5], [x + 14, y - 5], [x + 14, y - 1], [x + 10, y - 5]] AS ring FROM points"))

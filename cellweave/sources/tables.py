@@ -25,7 +25,11 @@ FEATURES = "type string, features array<struct<type: string, id: string, geometr
 
 def positions(spark: SparkSession, path: str, in_tissue: bool = True) -> DataFrame:
     """Bin positions; the tissue filter and the column list reach the scan."""
-    df = require_columns(spark.read.parquet(path), ["barcode", "in_tissue", "pxl_row_in_fullres", "pxl_col_in_fullres"])
+    return positions_of(spark.read.parquet(path), in_tissue)
+
+
+def positions_of(df: DataFrame, in_tissue: bool = True) -> DataFrame:
+    df = require_columns(df, ["barcode", "in_tissue", "pxl_row_in_fullres", "pxl_col_in_fullres"])
     df = df.select("barcode", "in_tissue", "pxl_row_in_fullres", "pxl_col_in_fullres")
     return df.where("in_tissue = 1") if in_tissue else df
 
@@ -38,22 +42,32 @@ def with_positions(counts: DataFrame, positions_: DataFrame) -> DataFrame:
 
 def platform_cells(spark: SparkSession, path: str) -> DataFrame:
     """Cell table with string ids; optional columns are kept if there."""
-    df = require_columns(spark.read.parquet(path), ["cell_id", "x_centroid", "y_centroid"])
+    return cells_of(spark.read.parquet(path))
+
+
+def cells_of(df: DataFrame) -> DataFrame:
+    df = require_columns(df, ["cell_id", "x_centroid", "y_centroid"])
     more = [c for c in ("nucleus_area", "cell_area") if c in df.columns]
     return df.select(F.col("cell_id").cast("string").alias("cell_id"), "x_centroid", "y_centroid", *more)
 
 
 def transcripts_in(spark: SparkSession, path: str, box: tuple[float, float, float, float]) -> DataFrame:
     """Transcripts of a half-open box; range and columns reach the scan."""
+    return in_box(spark.read.parquet(path), box)
+
+
+def in_box(df: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     x, y = F.col("x_location"), F.col("y_location")
-    df = spark.read.parquet(path)
     cols = [c for c in TRANSCRIPTS.names if c in df.columns]
     return df.where((x >= box[0]) & (x < box[2]) & (y >= box[1]) & (y < box[3])).select(*cols)
 
 
 def boundaries_in(spark: SparkSession, path: str, box: tuple[float, float, float, float]) -> DataFrame:
     """All vertices of the cells that have a vertex in the box."""
-    v = spark.read.schema(BOUNDARIES).parquet(path)
+    return with_vertex_in(spark.read.schema(BOUNDARIES).parquet(path), box)
+
+
+def with_vertex_in(v: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     hit = v.where(F.col("vertex_x").between(box[0], box[2]) & F.col("vertex_y").between(box[1], box[3])).select("cell_id").distinct()
     return v.join(hit, "cell_id", "left_semi")
 
@@ -114,6 +128,12 @@ def experiments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EXPERIMENTS).option("mode", "DROPMALFORMED").json(path)
 
 
+def parsed_lines(df: DataFrame, text: str, schema: str) -> DataFrame:
+    """JSON lines in column ``text`` as column ``row`` by ``schema``; rows with a malformed line are skipped."""
+    j = F.from_json(F.col(text), schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return df.withColumn("row", j).where("row._bad is null").drop(text)
+
+
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """``kind, path, size``: the best image and matrix under a folder: tiled images first, then the largest."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"))

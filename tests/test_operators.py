@@ -197,3 +197,96 @@ def test_filters_reach_the_scan(spark, small):
 
     plan = QUERIES["a5_transcripts_in_box"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_extendedprice)" in plan and "l_shipdate" not in plan
+
+
+def test_marker_table(spark):
+    rng = np.random.default_rng(3)
+    dense = rng.poisson(0.8, (40, 12)).astype(float)
+    dense[:20, 0] += 3
+    dense[20:, 5] = 0  # a gene that one group lacks
+    group = np.repeat([0, 1], 20)
+    counts = spark.createDataFrame([(i, j, float(dense[i, j])) for i in range(40) for j in range(12) if dense[i, j] > 0], "cell_id long, gene_id long, value double")
+    groups = spark.createDataFrame([(i, int(g)) for i, g in enumerate(group)], "cell_id long, grp int")
+    names = spark.createDataFrame([(j, f"g{j}") for j in range(12)], "gene_id long, name string")
+    got = {(r.cluster, r.gene): r for r in X.marker_table(counts, groups, names, 12).collect()}
+    for g in (0, 1):
+        z = []
+        for j in range(12):
+            v = dense[:, j]
+            rank = np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+            u = rank[group == g].sum() - 20 * 21 / 2
+            ties = sum(t**3 - t for t in np.unique(v, return_counts=True)[1])
+            z.append((u - 200) / math.sqrt(400 / 12 * (41 - ties / (40 * 39))))
+        p = np.array([math.erfc(abs(x) / math.sqrt(2)) for x in z])
+        order = np.argsort(p)
+        q = np.empty(12)
+        q[order] = np.minimum(np.minimum.accumulate((p[order] * 12 / np.arange(1, 13))[::-1])[::-1], 1)
+        for j in range(12):
+            r = got[g, f"g{j}"]
+            assert r.score == pytest.approx(z[j]) and r.pval_adj == pytest.approx(q[j])
+    best = [r.gene for r in X.marker_table(counts, groups, names, 1).orderBy("cluster").collect()]
+    assert best[0] in ("g0", "g5") and len(best) == 2
+
+
+def test_resolution_search_keeps_the_nearest(spark):
+    edges = [(4 * b + i, 4 * b + j, 1.0) for b in range(6) for i in range(4) for j in range(i)] + [(4 * b, (4 * b + 4) % 24, 1.0) for b in range(6)]
+    e = spark.createDataFrame(edges, "src long, dst long, weight double")
+    assert M.resolution_for(e, 6)[1] == 6
+    resolution, n = M.resolution_for(e, 5, tries=3)
+    tried = [M.cluster_graph(e, [x]).select("cluster").distinct().count() for x in (1.55, resolution)]
+    assert tried[1] == n and abs(n - 5) <= abs(tried[0] - 5)
+
+
+def test_regularised_genes_against_dense(spark):
+    rng = np.random.default_rng(9)
+    mean = rng.uniform(0.2, 6, 60)
+    dense = rng.poisson(mean, (80, 60)).astype(float)
+    counts = spark.createDataFrame([(i, j, float(dense[i, j])) for i in range(80) for j in range(60) if dense[i, j] > 0], "cell_id long, gene_id long, value double")
+    got = {r.gene_id: r.variance_norm for r in M.regularised_genes(counts, 80, 60).collect()}
+    mu, var = dense.mean(axis=0), dense.var(axis=0, ddof=1)
+    x, y = np.log10(mu), np.log10(var)
+    fit = np.empty(60)
+    for i in range(60):
+        near = np.argsort(np.abs(x - x[i]), kind="stable")[:18]
+        w = np.sqrt(np.maximum((1 - (np.abs(x[near] - x[i]) / np.abs(x[near] - x[i]).max()) ** 3) ** 3, 0))
+        fit[i] = np.polyval(np.polyfit(x[near] - x[i], y[near], 2, w=w), 0)
+    sd = np.sqrt(10**fit)
+    clipped = np.minimum(dense, mu + sd * math.sqrt(80))
+    want = ((clipped - mu) ** 2).sum(axis=0) / (79 * sd**2)
+    assert all(got[j] == pytest.approx(want[j], rel=1e-4) for j in range(60))
+
+
+def test_tissue_mask_against_loops(spark):
+    rng = np.random.default_rng(2)
+    img = rng.integers(215, 256, (30, 34, 3))
+    img[8:14, 9:20] = 90
+    img[20, 25] = 10
+    rows = [(i, j, *map(int, img[i, j])) for i in range(30) for j in range(34)]
+    got = {(r.row, r.col) for r in I.tissue_mask(spark.createDataFrame(rows, "row int, col int, r int, g int, b int"), (30, 34)).collect()}
+    shape = lambda k: [(y, x) for y in range(-(k // 2), k // 2 + 1) for x in range(-(k // 2), k // 2 + 1) if abs(x) <= round((k // 2) * math.sqrt(1 - (y / (k // 2)) ** 2))]
+    inside = lambda i, j: 0 <= i < 30 and 0 <= j < 34
+
+    def grow(mask, k):
+        return {(i + y, j + x) for i, j in mask for y, x in shape(k) if inside(i + y, j + x)}
+
+    mask = {(i, j) for i in range(30) for j in range(34) if round(float(img[i, j] @ [0.299, 0.587, 0.114])) < 220}
+    grown = grow(mask, 11)
+    closed = {(i, j) for i, j in grown if all((i + y, j + x) in grown for y, x in shape(11) if inside(i + y, j + x))}
+    assert got == grow(grow(closed, 5), 5)
+
+
+def test_stain_vectors(spark):
+    rng = np.random.default_rng(6)
+    true = np.array([[0.56, 0.72, 0.41], [0.22, 0.80, 0.56]])
+    true /= np.linalg.norm(true, axis=1, keepdims=True)
+    od = rng.uniform(0, 1.5, (4000, 2)) ** 2 @ true + 0.02
+    px = 241 * np.exp(-od) - 1
+    table = spark.createDataFrame(px.tolist(), "r double, g double, b double")
+    got = I.stain_vectors(table)
+    seen = od[(od >= 0.15).all(axis=1)]
+    axes = np.linalg.eigh(np.cov(seen, rowvar=False))[1][:, [2, 1]]
+    angle = np.arctan2(seen @ axes[:, 1], seen @ axes[:, 0])
+    ends = np.stack([axes @ [np.cos(a), np.sin(a)] for a in np.percentile(angle, [1, 99])])
+    want = ends if ends[0, 0] > ends[1, 0] else ends[::-1]
+    assert np.allclose(got, want, atol=1e-6)
+    assert I.stain_vectors(table.limit(20)) is None
