@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,10 +79,40 @@ class Stages:
                 raise
 
 
+#: Links that one task contracts at once.
+PIECE = 2_000_000
+
+
+def contract(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each vertex of the links u - v that isn't the least of its component, with that one."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    up = np.arange(len(ids))
+    while True:
+        a, b = up[u], up[v]
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        apart = lo != hi
+        if not apart.any():
+            break
+        np.minimum.at(up, hi[apart], lo[apart])  # a root hangs on the least root that it has a link to
+        while (up[up] != up).any():
+            up = up[up]
+    low = np.flatnonzero(up != np.arange(len(ids)))
+    return ids[low], ids[up[low]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if rows:
+        u, v = contract(*(np.concatenate(x) for x in zip(*rows, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
 def components(stages: Stages, links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)`` as ``(id, component)``, component the smallest id reachable.
 
-    Alternates large-star and small-star steps until every vertex has one link, to a vertex without any.  Each step is
+    First, pieces of PIECE links are contracted to stars, a piece in a task; with one piece, that is the result.  Then
+    alternates large-star and small-star steps until every vertex has one link, to a vertex without any.  Each step is
     a minimum per vertex (partial aggregation) and a join back, which adaptive execution splits at hubs; no neighbour
     list is ever gathered in one row.
     """
@@ -106,7 +139,11 @@ def components(stages: Stages, links: DataFrame) -> DataFrame:
 
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = stages.save(edges, "links")
-    while not done(edges):
+    pieces = max(1, -(-edges.count() // PIECE))
+    stars = stages.save(edges.coalesce(pieces).mapInArrow(_contract, "u long, v long"), "stars")
+    stages.drop(edges)
+    edges = stars
+    while pieces > 1 and not done(edges):
         after = stages.save(step(step(edges, True), False).distinct(), "star")
         stages.drop(edges)
         edges = after

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Stages, components
 from .textkernel import Words, as_bytes, groups, mix
@@ -22,8 +22,16 @@ SIDE, ROWS = 12, 3
 DEVIATIONS = 4.8
 #: Minhash bytes in one long of the sketch; with 6 no sum below overflows.
 PACK = 6
+#: Bits of the parity map of a set: shingles are dealt to bins by hash, a bit tells whether its bin holds an odd number.
+#: Bits that differ between two sets never outnumber the shingles that only one of them has, so that this filter loses
+#: nothing; with few of them against the bins it is near exact.
+PARITY = 512
 #: Members that one task compares with a pivot before the pivot is sent to a further task.
 SALT = 64
+#: Members of a bucket that are heads up to the first round, and how many times more up to each later one.
+HEADS, WIDER = 32, 64
+#: Parts of the tables that are compared one after the other, so that few sketches are on disk at once.
+SLICES = 2
 
 _rng = np.random.default_rng(0x71E5)
 _A = _rng.integers(0, 2**63, 2 * SIDE * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,8 +66,14 @@ def set_key(s: np.ndarray) -> int:
     return int(mix(np.add.reduce(mix(s ^ _C[1]), dtype=np.uint64, keepdims=True) ^ np.uint64(len(s)))[0])
 
 
-def collections_of(s: np.ndarray) -> np.ndarray:
-    """The 2 * SIDE collection hashes of a set, then its minhashes' bytes, PACK to a long."""
+def parity_of(s: np.ndarray) -> np.ndarray:
+    """The parity map of a set as longs."""
+    odd = np.bincount((s >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def collections_of(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 2 * SIDE collection hashes of a set; its filter: the minhashes' bytes, PACK to a long, then its parity map."""
     m = np.full(len(_A), np.uint64(2**64 - 1))
     for i in range(0, len(s), 4096):
         m = np.minimum(m, (s[i : i + 4096, None] * _A + _B).min(axis=0))
@@ -68,22 +82,23 @@ def collections_of(s: np.ndarray) -> np.ndarray:
     acc = np.arange(2 * SIDE, dtype=np.uint64)
     for k in range(ROWS):
         acc = mix(acc * np.uint64(31) ^ m[:, k])
-    return np.concatenate([acc, np.bitwise_or.reduce(low, axis=1)])
+    return acc, np.concatenate([np.bitwise_or.reduce(low, axis=1), parity_of(s)])
 
 
-#: Collection hashes and packed longs of a sketch.
-_LONGS = 2 * SIDE + 2 * SIDE * ROWS // PACK
+#: Longs with packed minhashes, and all longs of a filter, with the parity map.
+_PACKED = 2 * SIDE * ROWS // PACK
+_LONGS = _PACKED + PARITY // 64
 _LOW7 = int.from_bytes(b"\x7f" * PACK, "big")
 
 
 def agreement(a: str, b: str) -> Column:
-    """How many minhash bytes of two sketches agree: the zero bytes of their packed longs' differences."""
+    """How many minhash bytes of two filters agree: the zero bytes of their packed longs' differences."""
     total = F.lit(0)
-    for i in range(2 * SIDE, _LONGS):
+    for i in range(_PACKED):
         x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
         differs = ((x.bitwiseAND(F.lit(_LOW7)) + F.lit(_LOW7)).bitwiseOR(x)).bitwiseOR(F.lit(_LOW7))
         total = total + F.bit_count(F.bitwise_not(differs))
-    return total - (_LONGS - 2 * SIDE) * (64 - 8 * PACK)
+    return total - _PACKED * (64 - 8 * PACK)
 
 
 def least_agreement(percent: int) -> int:
@@ -91,6 +106,28 @@ def least_agreement(percent: int) -> int:
     return max(1, int(n * p - DEVIATIONS * (n * p * (1 - p)) ** 0.5))
 
 
+def may_link(a: str, b: str, size_a: str, size_b: str, percent: int) -> Column:
+    """False for two filters whose sets surely differ too much, but for one pair in a million at the threshold."""
+    odd = F.lit(0)
+    for i in range(_PACKED, _LONGS):
+        odd = odd + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
+    # both in (sizes - only) / 2, and 100 * both >= percent * (sizes - both)
+    sizes = F.col(size_a) + F.col(size_b)
+    return (odd * (100 + percent) <= sizes * (100 - percent)) & (agreement(a, b) >= least_agreement(percent))
+
+
+def first_table(a: str, b: str) -> Column:
+    """The first table in which two classes share a key: the first collection of either side that they share."""
+
+    def first(low: int) -> Column:
+        out = F.lit(SIDE)
+        for i in reversed(range(SIDE)):
+            out = F.when(F.get(a, F.lit(low + i)) == F.get(b, F.lit(low + i)), F.lit(i)).otherwise(out)
+        return out
+
+    return first(0) * SIDE + first(SIDE)
+
+
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,31 +136,40 @@ def _sketch(width: int):
                 sets = shingle_sets(run_, width)
                 n = np.array([len(s) for s in sets], np.int64)
                 key = np.array([set_key(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                sk = np.array([collections_of(s) if len(s) else np.zeros(_LONGS, np.uint64) for s in sets]).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sk.size + 1, _LONGS), pa.int32()), pa.array(sk.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(run_)), b.column(2).slice(first, len(run_)), pa.array(n), pa.array(key), lists], ["doc_id", "text_hash", "n_shingles", "cls", "sk"])
+                none = np.zeros(2 * SIDE, np.uint64), np.zeros(_LONGS, np.uint64)
+                found = [collections_of(s) if len(s) else none for s in sets]
+                lists = []
+                for k, size in enumerate((2 * SIDE, _LONGS)):
+                    flat = np.concatenate([x[k] for x in found]).view(np.int64)
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size), pa.int32()), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(run_)), b.column(2).slice(first, len(run_)), pa.array(n), pa.array(key), *lists], ["doc_id", "text_hash", "n_shingles", "cls", "hashes", "sk"])
 
     return run
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, cls), those whose key has two or more."""
-    last = None  # the last row of the batch before, and whether it is given out
+    """Of rows sorted by (key, cls) and dealt by ranges, those whose key has two or more, and all of the range's first
+    and last key, whose other rows may lie in the next range."""
+    last = first = None  # the last row of the batch before, and whether it is given out; the first key
     for b in batches:
-        key, cls = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(key):
+        if not b.num_rows:
             continue
+        cols = [b.column(i).to_numpy() for i in range(3)]
+        key = cols[0]
+        first = key[0] if first is None else first
         same = key[1:] == key[:-1]
-        keep = np.zeros(len(key), bool)
+        keep = key == first
         keep[1:] |= same
         keep[:-1] |= same
-        if last is not None and last[0] == key[0]:
-            keep[0] = True
-        k, c = key[keep], cls[keep]
-        if last is not None and last[0] == key[0] and not last[2]:
-            k, c = np.append(k, last[0]), np.append(c, last[1])
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "cls"])
-        last = (key[-1], cls[-1], bool(keep[-1]))
+        if last is not None:
+            alike = last[0][0] == key[0]
+            keep[0] |= alike
+            if alike and not last[1]:
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in last[0]], ["key", "cls", "t"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["key", "cls", "t"])
+        last = ([c[-1] for c in cols], bool(keep[-1]))
+    if last is not None and not last[1]:
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in last[0]], ["key", "cls", "t"])
 
 
 def _compare(width: int, percent: int):
@@ -173,61 +219,65 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, stages:
     No bucket is expanded into pairs.  The popularity of a class is the number of rows in its buckets: an original is
     more popular than its copies, which are farther from each other than from it.  First each class is compared with
     the most popular class it shares a bucket with.  Then, as long as a bucket holds more than one component, its
-    members are compared with its most popular member, the next seven, the next fifty-six, and so on, unless they are of
-    one component or their sketches differ by too much: every pair of a bucket is in one component or was compared.
+    members are compared with some of them chosen by hash, with more of them, and so on, unless they are of one
+    component or their sketches differ by too much: every pair of a bucket is in one component or was compared.
+    A pair that shares several buckets is made in the first one only.
     """
     stages = stages or Stages(docs.sparkSession, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    rows = stages.save(docs.mapInArrow(_sketch(width), "doc_id long, text_hash long, n_shingles long, cls long, sk array<long>"), "sketches")
+    rows = stages.save(docs.mapInArrow(_sketch(width), "doc_id long, text_hash long, n_shingles long, cls long, hashes array<long>, sk array<long>"), "sketches")
     sets = rows.where("n_shingles > 0")
-    classes = stages.save(sets.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sk").alias("sk")), "classes")
+    classes = stages.save(sets.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("hashes").alias("hashes"), F.first("sk").alias("sk")), "classes")
 
     # the tensor: a key for every pair of a left and a right collection
-    keys = F.transform(
+    tables = F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)),
-        lambda t: F.xxhash64(F.get("sk", (t / SIDE).cast("int")), F.get("sk", (t % SIDE).cast("int") + SIDE), t),
-    )
+        lambda t: F.xxhash64(F.get("hashes", (t / SIDE).cast("int")), F.get("hashes", (t % SIDE).cast("int") + SIDE), t),
+    )).alias("t", "key")
     parts = max(int(stages.spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keyed = classes.select(F.explode(keys).alias("key"), "cls").repartition(parts, "key").sortWithinPartitions("key", "cls")
-    buckets = stages.save(keyed.mapInArrow(_runs, "key long, cls long"), "buckets")
+    keyed = classes.select("cls", tables).select("key", "cls", "t").repartitionByRange(parts, "key", "cls").sortWithinPartitions("key", "cls")
+    runs = stages.save(keyed.mapInArrow(_runs, "key long, cls long, t int"), "runs")
+    sizes = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    buckets = stages.save(runs.join(sizes.where("n > 1"), "key"), "buckets")
+    stages.drop(runs)
 
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    popular = stages.save(buckets.join(sizes, "key").groupBy("cls").agg(F.sum("n").alias("pop")), "popularity")
+    popular = stages.save(buckets.groupBy("cls").agg(F.sum("n").alias("pop")), "popularity")
     place = F.struct((-F.col("pop")).alias("less"), F.col("cls").alias("cls")).alias("place")
-    placed = stages.save(buckets.join(popular, "cls").select("key", "cls", place), "places")
-    stages.drop(buckets, popular)
+    placed = buckets.join(popular, "cls").select("key", "cls", place)
     first = placed.groupBy("key").agg(F.min("place").alias("head"))
     pairs = placed.join(first, "key").where("head.cls <> cls").groupBy(F.col("cls").alias("a")).agg(F.min("head").alias("h")).select("a", F.col("h.cls").alias("b"))
-    least = least_agreement(percent)
-    sk = classes.select("cls", "sk")
-    far = pairs.join(sk.select(F.col("cls").alias("a"), F.col("sk").alias("s1")), "a").join(sk.select(F.col("cls").alias("b"), F.col("sk").alias("s2")), "b")
-    pairs = far.where(agreement("s1", "s2") >= least).select("a", "b")
-    links, live, low, high = None, None, 0, 1
+    sk = classes.select("cls", "size", "sk")
+    far = pairs.join(sk.toDF("a", "n1", "s1"), "a").join(sk.toDF("b", "n2", "s2"), "b")
+    # half a hash will do to tell that two classes share a collection: one pair in 1.8e8 would be lost
+    sk = classes.select("cls", "size", "sk", F.transform("hashes", lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")).alias("half"))
+    pairs = far.where(may_link("s1", "s2", "n1", "n2", percent)).select("a", "b")
+    # a member's turn is chosen by hash: about k of the n members of a bucket have one under k / n
+    turn = (F.shiftrightunsigned(F.xxhash64("cls", F.lit(percent)), 11) / float(1 << 53)).alias("turn")
+    comp, live, low, high = None, buckets, 0, HEADS
+    pairs = [stages.save(pairs, "pairs")]
+    stages.drop(popular)
     while True:
-        pairs = stages.save(pairs, "pairs")
-        found = verify(stages, pairs, classes, docs, width, percent)
-        after = stages.save(found if links is None else links.union(found), "links")
-        stages.drop(links, pairs)
-        links = after
-        comp = stages.save(components(stages, links), "components")
-        named = (placed if live is None else live).join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where(f"x < y and n > {low + 1}").select("key")
-        named = named.join(mixed, "key", "left_semi")
-        if live is None:
-            rank = F.row_number().over(Window.partitionBy("key").orderBy("place")) - 1
-            named = named.withColumn("rank", rank).join(sk, "cls").select("key", "cls", "rank", "sk", "component")
-        else:
-            named = named.select("key", "cls", "rank", "sk", "component")
-        after = stages.save(named, "live")
+        found = verify(stages, functools.reduce(DataFrame.union, pairs), classes, docs, width, percent)
+        # the components so far stand for the links that made them
+        found = found if comp is None else found.union(comp.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        after = stages.save(components(stages, found), "components")
+        stages.drop(comp, *pairs)
+        comp = after
+        named = live.select("key", "cls", "t", "n").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("n").alias("n")).where(f"x < y and n > {low}").select("key")
+        after = stages.save(named.join(mixed, "key", "left_semi"), "live")
         stages.drop(live)
-        live = after.drop("component")
-        live._stage_path = after._stage_path
-        if after.isEmpty():
+        live = after
+        if live.isEmpty():
             break
-        heads = after.where(f"rank >= {low} and rank < {high}").select("key", F.col("cls").alias("b"), F.col("rank").alias("at"), F.col("component").alias("of"), F.col("sk").alias("s2"))
-        near = (F.col("rank") > F.col("at")) & (F.col("component") != F.col("of")) & (agreement("sk", "s2") >= least)
-        pairs = after.join(heads.withColumnRenamed("key", "_k"), (F.col("key") == F.col("_k")) & near).select(F.col("cls").alias("a"), "b").distinct()
-        low, high = high, 8 * high
+        pairs = []
+        for k in range(SLICES):
+            rows_ = live.where(F.col("t") % SLICES == k).join(sk, "cls").select("key", "cls", "t", "n", "component", "size", "sk", "half", turn)
+            heads = rows_.where(f"turn * n >= {low} and turn * n < {high}").select(F.col("key").alias("_k"), F.col("cls").alias("b"), F.col("turn").alias("at"), F.col("component").alias("of"), F.col("size").alias("n2"), F.col("sk").alias("s2"), F.col("half").alias("h2"))
+            later = (F.col("turn") > F.col("at")) | ((F.col("turn") == F.col("at")) & (F.col("cls") > F.col("b")))
+            near = later & (F.col("component") != F.col("of")) & may_link("sk", "s2", "size", "n2", percent) & (first_table("half", "h2") == F.col("t"))
+            pairs.append(stages.save(rows_.join(heads, (F.col("key") == F.col("_k")) & near).select(F.col("cls").alias("a"), "b"), "pairs"))
+        low, high = high, WIDER * high
     # smallest doc_id of each component
     node = rows.select("doc_id", "text_hash", "n_shingles", "cls").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = node.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
