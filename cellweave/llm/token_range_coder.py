@@ -430,16 +430,21 @@ def _read(offsets: dict[int, int]):
     return run
 
 
-def write_ids(docs: DataFrame, path: str | None = None, end: int = 0, segment: int = SEGMENT, stages: Stages | None = None) -> DataFrame:
+def write_ids(docs: DataFrame, path: str | None = None, end: int = 0, segment: int = SEGMENT, stages: Stages | None = None, to: str | None = None) -> DataFrame:
     """Files of segments ``part, seq, start, ids, data``, in ascending doc_id order over (part, seq).
 
     Rows are dealt to ranges of doc_id, null first; rows with the same doc_id stand in the order of their texts.
-    ``start`` counts the ids before the segment within its part.  A null text has the end id alone.
+    ``start`` counts the ids before the segment within its part.  A null text has the end id alone.  The files are a
+    Parquet table in the new folder ``to``, to be kept, or else a stage's, which goes with the session.
     """
     stages = stages or Stages(docs.sparkSession, "ids")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stages.save(rows.mapInArrow(_write(path or default_tokenizer(), end, segment), "part int, seq int, start long, ids long, data binary"), "ids")
+    files = rows.mapInArrow(_write(path or default_tokenizer(), end, segment), "part int, seq int, start long, ids long, data binary")
+    if to is None:
+        return stages.save(files, "ids")
+    files.write.parquet(to)
+    return docs.sparkSession.read.parquet(to)
 
 
 def read_ids(files: DataFrame) -> DataFrame:
