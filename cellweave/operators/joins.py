@@ -84,8 +84,11 @@ def dense_ids(df: DataFrame, key: str, name: str = "dense", chunk: int = 1 << 20
     Numbering runs within hash-free ranges of keys: ranks inside each range of ``chunk`` values, plus the number of keys
     in the ranges before.  Only one row per range goes through a global window.
     """
-    part = F.floor(F.col(key) / chunk)
-    rows = df.withColumn("_part", part)
+    return _numbered(df.withColumn("_part", F.floor(F.col(key) / chunk)), key, name)
+
+
+def _numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """0-based numbers in the order of ``key``, whose ``_part`` grows with it."""
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_part", before.alias("_before"))
@@ -107,8 +110,8 @@ def assign_barcodes(ids: DataFrame, pool: DataFrame) -> DataFrame:
     """
     if pool.count() < ids.count():
         raise ValueError("fewer barcodes than cells")
-    a = ids.select("cell_id", F.row_number().over(Window.orderBy("cell_id")).alias("n"))
-    b = pool.select("barcode", F.row_number().over(Window.orderBy("barcode")).alias("n"))
+    a = dense_ids(ids.select("cell_id"), "cell_id", "n")
+    b = _numbered(pool.select("barcode", F.substring("barcode", 1, 6).alias("_part")), "barcode", "n")
     return a.join(b, "n").select("cell_id", "barcode")
 
 

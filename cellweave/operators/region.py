@@ -30,9 +30,17 @@ def in_box(df: DataFrame, box: tuple[float, float, float, float], x: str = "x",
 
 
 def in_regions(df: DataFrame, regions: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """Rows with each region ``(roi, x0, y0, x1, y1)`` that holds them, half-open."""
-    r = regions
-    return df.join(r, (df[x] >= r["x0"]) & (df[x] < r["x1"]) & (df[y] >= r["y0"]) & (df[y] < r["y1"]))
+    """Rows with each region ``(roi, x0, y0, x1, y1)`` that holds them, half-open.
+
+    Rows and regions meet in grid cells as large as the largest region's side, of which a region covers four at most.
+    """
+    side = regions.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 1.0
+    cell = lambda c: F.floor(c / num(float(side))).cast("long")
+    over = lambda a, b: F.explode(F.sequence(cell(F.col(a)), F.greatest(cell(F.col(a)), cell(F.col(b)))))
+    r = regions.withColumn("_gx", over("x0", "x1")).withColumn("_gy", over("y0", "y1"))
+    p = df.withColumns({"_gx": cell(F.col(x)), "_gy": cell(F.col(y))})
+    within = (p[x] >= r["x0"]) & (p[x] < r["x1"]) & (p[y] >= r["y0"]) & (p[y] < r["y1"])
+    return p.join(r, (p["_gx"] == r["_gx"]) & (p["_gy"] == r["_gy"]) & within).drop("_gx", "_gy")
 
 
 def pixels_to_um(df: DataFrame, columns: list[str], scale: float) -> DataFrame:

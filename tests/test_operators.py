@@ -290,3 +290,15 @@ def test_stain_vectors(spark):
     want = ends if ends[0, 0] > ends[1, 0] else ends[::-1]
     assert np.allclose(got, want, atol=1e-6)
     assert I.stain_vectors(table.limit(20)) is None
+
+
+def test_points_in_regions(spark):
+    from cellweave.operators.region import in_regions
+
+    rng = random.Random(4)
+    points = [(i, rng.uniform(-50, 150), float(rng.randint(-5, 12) * 10)) for i in range(300)]
+    boxes = [("a", 0.0, 0.0, 50.0, 40.0), ("b", 40.0, 30.0, 120.0, 70.0), ("c", -20.0, -20.0, 0.0, 0.0), ("empty", 5.0, 5.0, 5.0, 5.0)]
+    got = in_regions(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(boxes, "roi string, x0 double, y0 double, x1 double, y1 double"))
+    want = {(i, b[0]) for i, x, y in points for b in boxes if b[1] <= x < b[3] and b[2] <= y < b[4]}
+    rows = [(r.id, r.roi) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want) and got.columns == ["id", "x", "y", "roi", "x0", "y0", "x1", "y1"]
