@@ -198,34 +198,46 @@ def stain_vectors(pixels: DataFrame, light: float = 240.0, beta: float = 0.15, l
     return ends / np.linalg.norm(ends, axis=1, keepdims=True)
 
 
-def contours(raster: DataFrame) -> DataFrame:
-    """``cell_id, ring``: the largest closed outline of each cell along pixel edges, one task per group of cells."""
+#: Sides of a pixel, clockwise.
+SIDES = ((-1, 0), (0, 1), (1, 0), (0, -1))
+
+
+def outlines(pixels: set[tuple[int, int]]) -> list[list[tuple[float, float]]]:
+    """Closed rings ``(row, col)`` at half height around a set of pixels: points halfway to each neighbour outside.
+
+    From a side of a pixel the ring goes on, clockwise around the pixels, at the same pixel if the next neighbour is
+    outside, else at the neighbour, or at the one beyond it.  Pixels that touch at corners only stay apart.
+    """
+    left = {(p, k) for p in pixels for k, (dr, dc) in enumerate(SIDES) if (p[0] + dr, p[1] + dc) not in pixels}
+    rings = []
+    while left:
+        first = at = min(left)
+        ring = []
+        while True:
+            left.discard(at)
+            (r, c), k = at
+            (dr, dc), (er, ec) = SIDES[k], SIDES[(k + 1) % 4]
+            ring.append((r + dr / 2, c + dc / 2))
+            if (r + er, c + ec) not in pixels:
+                at = ((r, c), (k + 1) % 4)
+            elif (r + er + dr, c + ec + dc) not in pixels:
+                at = ((r + er, c + ec), k)
+            else:
+                at = ((r + er + dr, c + ec + dc), (k + 3) % 4)
+            if at == first:
+                break
+        rings.append([*ring, ring[0]])
+    return rings
+
+
+def contours(raster: DataFrame, scale: float = 1.0, least: int = 1) -> DataFrame:
+    """``cell_id, ring``: the outline with the most points of each cell of ``least`` pixels, as scaled (x, y) of pixel centres; a cell in one task."""
 
     def trace(f: pd.DataFrame) -> pd.DataFrame:
         px = set(zip(f["row"].tolist(), f["col"].tolist(), strict=True))
-        after: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r, c in px:  # directed edges with the cell on the right
-            for (dr, dc), a, b in (((-1, 0), (r, c), (r, c + 1)), ((0, 1), (r, c + 1), (r + 1, c + 1)), ((1, 0), (r + 1, c + 1), (r + 1, c)), ((0, -1), (r + 1, c), (r, c))):
-                if (r + dr, c + dc) not in px:
-                    after.setdefault(a, []).append(b)
-        best: list[tuple[int, int]] = []
-        size = -1.0
-        for nexts in after.values():
-            nexts.sort()
-        while after:
-            start = min(after)
-            ring, at = [start], start
-            while True:
-                nxt = after[at].pop(0)
-                if not after[at]:
-                    del after[at]
-                ring.append(nxt)
-                at = nxt
-                if at == start or at not in after:
-                    break
-            area = abs(sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(ring, ring[1:], strict=False))) / 2
-            if area > size:
-                best, size = ring, area
-        return pd.DataFrame({"cell_id": [f["cell_id"].iloc[0]], "ring": [[[float(c), float(r)] for r, c in best]]})
+        if len(px) < least:
+            return pd.DataFrame({"cell_id": pd.Series(dtype="int64"), "ring": pd.Series(dtype="object")})
+        ring = max(outlines(px), key=len)  # the first among equals
+        return pd.DataFrame({"cell_id": [f["cell_id"].iloc[0]], "ring": [[[c * scale, r * scale] for r, c in ring]]})
 
     return raster.groupBy("cell_id").applyInPandas(trace, "cell_id long, ring array<array<double>>")

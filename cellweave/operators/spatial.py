@@ -109,6 +109,31 @@ def morans_i(grid: DataFrame, value: str = "value", by: list[str] | None = None)
     return both.select(*by, i.alias("i"))
 
 
+def random_nearest(a: DataFrame, b: DataFrame, first: float, draws: int, contact: float, seed: int = 0) -> DataFrame:
+    """``perm, median, contact_pct``: distances to the nearest of ``b`` if the points of ``a`` lay at random in the box of both.
+
+    Each draw places every point anew, by seeded hashes of its id, so runs agree; draw -1 is the observed one.  All draws
+    are one nearest-point plan.
+    """
+    box = a.select("x", "y").union(b.select("x", "y")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    u = lambda k: F.shiftrightunsigned(F.xxhash64("id", "perm", F.lit(seed), F.lit(k)), 11) / float(1 << 53)
+    at = lambda c, lo, hi, k: F.when(F.col("perm") < 0, F.col(c)).otherwise(lo + u(k) * (hi - lo)).alias(c)
+    placed = a.select("id", "x", "y", F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))).alias("perm"))
+    placed = placed.select(F.struct("perm", "id").alias("id"), at("x", box.x0 or 0.0, box.x1 or 0.0, 1), at("y", box.y0 or 0.0, box.y1 or 0.0, 2))
+    d = nearest(placed, b, first)
+    return d.groupBy(F.col("id.perm").alias("perm")).agg(F.median("distance").alias("median"), (100 * F.avg((F.col("distance") < contact).cast("int"))).alias("contact_pct"))
+
+
+def randomness_test(drawn: DataFrame) -> DataFrame:
+    """One row of ``random_nearest``: the observed median and contact, the draws' median contact with its 95 % band, and both one-sided p values."""
+    own, rest = F.col("perm") < 0, F.col("perm") >= 0
+    seen = drawn.where(own).select(F.col("median").alias("_m"), F.col("contact_pct").alias("_c"))
+    both = drawn.where(rest).crossJoin(F.broadcast(seen))  # one row
+    band = F.percentile("contact_pct", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    g = both.agg(F.first("_m").alias("median"), F.avg((F.col("median") <= F.col("_m")).cast("int")).alias("p_median"), F.first("_c").alias("contact_pct"), F.avg((F.col("contact_pct") >= F.col("_c")).cast("int")).alias("p_contact"), band.alias("_b"))
+    return g.select("median", "p_median", "contact_pct", "p_contact", *[F.get("_b", F.lit(i)).alias(n) for i, n in enumerate(("contact_low", "contact_random", "contact_high"))])
+
+
 def permutation_p(observed: float, permuted: DataFrame, column: str, side: str) -> DataFrame:
     """Share of permuted values at most (``less``) or at least (``greater``) the observed one; without + 1."""
     hit = F.col(column) <= observed if side == "less" else F.col(column) >= observed

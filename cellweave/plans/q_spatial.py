@@ -69,6 +69,11 @@ def _(v: Views):
     return out
 
 
+@query("k6_randomness_test")
+def _(v: Views):
+    return P.randomness_test(P.random_nearest(kind(v, "BUILDING"), kind(v, "MACHINERY"), 200.0, 20, 100.0, seed=42))
+
+
 _WINDOWS = "SELECT wr, wc, n, 3 * least(a, b, c) + n AS score FROM (SELECT wr * 500 AS wr, wc * 500 AS wc, count(DISTINCT id) AS n, count(DISTINCT id) FILTER (subtype = 'BUILDING') AS a, count(DISTINCT id) FILTER (subtype = 'MACHINERY') AS b, count(DISTINCT id) FILTER (subtype = 'FURNITURE') AS c FROM points JOIN (SELECT unnest(range(0, 21)) AS wr) ON y >= wr * 500 AND y < wr * 500 + 2000 JOIN (SELECT unnest(range(0, 21)) AS wc) ON x >= wc * 500 AND x < wc * 500 + 2000 GROUP BY 1, 2) WHERE n >= 30 AND least(a, b, c) > 0"
 
 

@@ -143,6 +143,22 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return files.withColumn("kind", kind).where("kind is not null").groupBy("kind").agg(F.max_by("path", best).alias("path"), F.max_by("size", best).alias("size"))
 
 
+#: Files that tell that a stage is done: a pattern of the path below the output folder.
+STAGE_FILES = {
+    "roi": r"/roi/[^/.][^/]*/he_crop\.tif$", "segmentation": r"/roi/[^/.][^/]*/segmentation_masks\.npy$", "count": r"/roi/[^/.][^/]*/cellpose_cells\.h5ad$",
+    "proseg_rna": r"/roi/[^/.][^/]*/proseg_cells\.h5ad$", "analysis": r"/(umap_computed|qc_preprocessed|roi/[^/.][^/]*/clustering)\.h5ad$",
+}
+
+
+def stage_report(spark: SparkSession, root: str, stages: dict[str, str] = STAGE_FILES) -> DataFrame:
+    """``stage, done, regions``: whether a file of each stage lies under ``root``, and the regions that have one, in order."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    rows = spark.createDataFrame(list(stages.items()), "stage string, pattern string")  # a row per stage
+    hits = files.join(F.broadcast(rows), F.expr("path rlike pattern")).select("stage", F.regexp_extract("path", r"/roi/([^/]+)/[^/]+$", 1).alias("roi"))
+    found = hits.groupBy("stage").agg(F.array_sort(F.collect_set(F.when(F.col("roi") != "", F.col("roi")))).alias("regions"))
+    return rows.select("stage").join(found, "stage", "left").select("stage", F.col("regions").isNotNull().alias("done"), F.coalesce("regions", F.array().cast("array<string>")).alias("regions"))
+
+
 def first_existing(spark: SparkSession, paths: list[str]) -> str:
     """The first path of a fallback chain that exists, on any file system."""
     jvm = spark._jvm

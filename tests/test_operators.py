@@ -302,3 +302,31 @@ def test_points_in_regions(spark):
     want = {(i, b[0]) for i, x, y in points for b in boxes if b[1] <= x < b[3] and b[2] <= y < b[4]}
     rows = [(r.id, r.roi) for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want) and got.columns == ["id", "x", "y", "roi", "x0", "y0", "x1", "y1"]
+
+
+def test_outlines_at_half_height():
+    assert I.outlines({(0, 0)}) == [[(-0.5, 0.0), (0.0, 0.5), (0.5, 0.0), (0.0, -0.5), (-0.5, 0.0)]]
+    assert sorted(map(len, I.outlines({(0, 0), (1, 1)}))) == [5, 5]  # corners only: apart
+    frame = {(r, c) for r in range(5) for c in range(5)} - {(2, 2)}
+    assert sorted(map(len, I.outlines(frame))) == [5, 21]
+    bent = {(0, 0), (1, 0), (1, 1)}
+    (ring,) = I.outlines(bent)
+    assert len(ring) == 9 and set(ring) == {(-0.5, 0), (0, 0.5), (0.5, 1), (1, 1.5), (1.5, 1), (1.5, 0), (1, -0.5), (0, -0.5)}
+
+
+def test_randomness_against_loops(spark):
+    rng = random.Random(5)
+    b = [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(40)]
+    a = [(i, b[i][1] + rng.uniform(-2, 2), b[i][2] + rng.uniform(-2, 2)) for i in range(30)]
+    A, B = (spark.createDataFrame(x, "id long, x double, y double") for x in (a, b))
+    drawn = {r.perm: r for r in P.random_nearest(A, B, 10.0, 12, 3.0, seed=7).collect()}
+    u = spark.createDataFrame([(i, p) for i, _, _ in a for p in range(12)], "id long, perm int").select("id", "perm", *[(F.shiftrightunsigned(F.xxhash64("id", "perm", F.lit(7), F.lit(k)), 11) / float(1 << 53)).alias(f"u{k}") for k in (1, 2)]).collect()
+    xs, ys = [p[1] for p in a + b], [p[2] for p in a + b]
+    near = lambda x, y: min(math.hypot(x - q[1], y - q[2]) for q in b)
+    draws = {-1: [near(x, y) for _, x, y in a]}
+    for r in u:
+        draws.setdefault(r.perm, []).append(near(min(xs) + r.u1 * (max(xs) - min(xs)), min(ys) + r.u2 * (max(ys) - min(ys))))
+    for k, d in draws.items():
+        assert drawn[k].median == pytest.approx(np.median(d)) and drawn[k].contact_pct == pytest.approx(100 * np.mean(np.array(d) < 3))
+    test = P.randomness_test(P.random_nearest(A, B, 10.0, 12, 3.0, seed=7)).first()
+    assert test.p_median == 0 and test.p_contact == 0 and test.contact_low <= test.contact_random <= test.contact_high < test.contact_pct

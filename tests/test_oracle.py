@@ -49,7 +49,7 @@ SHAPES = {
     "b4_marker_table": (80, ["cluster", "gene"]), "b5_polygon_features": (None, ["cell_id"]), "d15_sampled_windows": (None, []),
     "e16_adaptive_expansion": (None, ["row", "col"]), "e20_polygon_fill": (None, ["row", "col"]), "e24_stitched_tiles": (None, ["row", "col"]),
     "h7_seeded_sample": (200, ["event_id"]), "k13_panel_scores": (None, ["cell_id", "panel"]), "k2_grouped_mann_whitney_p": (None, []),
-    "l10_resolution_search": (1, []), "l11_kmeans": (500, ["id"]), "l1_dispersion_genes": (200, ["gene_id"]), "l1_regularised_genes": (200, ["gene_id"]),
+    "k6_randomness_test": (1, []), "l10_resolution_search": (1, []), "l11_kmeans": (500, ["id"]), "l1_dispersion_genes": (200, ["gene_id"]), "l1_regularised_genes": (200, ["gene_id"]),
     "l4_pca_scores": (500, ["id"]), "l9_graph_clusters": (1000, ["resolution", "id"]), "n3_ensemble_merge": (None, ["tile", "row", "col"]),
     "n5_density_seeds": (None, ["row", "col"]), "n8_contours": (None, ["cell_id"]),
 }

@@ -79,3 +79,11 @@ def test_stream_equals_batch(spark, small, tmp_path):
     last = max(t for _, t in want)
     assert got and all(want[k] == n for k, n in got.items()) and set(want) - set(got) <= {k for k in want if k[1] >= last}
     assert events.where(F.col("ts").isNull()).count() == 0
+
+
+def test_stage_report(spark, tmp_path):
+    for name in ("roi/b/he_crop.tif", "roi/a/he_crop.tif", "roi/a/cellpose_cells.h5ad", "qc_preprocessed.h5ad", "roi/.hidden/segmentation_masks.npy"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    got = {r.stage: (r.done, r.regions) for r in S.stage_report(spark, str(tmp_path)).collect()}
+    assert got == {"roi": (True, ["a", "b"]), "segmentation": (False, []), "count": (True, ["a"]), "proseg_rna": (False, []), "analysis": (True, [])}
