@@ -15,26 +15,33 @@ from pyspark.sql import functions as F
 from .common import Stages
 from .textkernel import Words, as_bytes, groups
 
-#: Words that the network predicts, in classes of WIDE words of neighbouring frequency; all others are one class more.
-CLASSES, WIDE = 64, 64
-KNOWN = CLASSES * WIDE
+#: The network predicts side ** 2 words, the most frequent, in side classes of side words of neighbouring frequency, where
+#: side is SPREAD times the fourth root of the distinct training words, LEAST_SIDE at least; all others are one class more.
+#: As contexts, the others share side ** 2 embeddings by hash.
+SPREAD, LEAST_SIDE = 1.5, 16
 DIM = 16
 #: Words whose counts every task holds, at most; the counts of rarer words come by a join.
 HEAD = 1 << 18
 #: Noise draws per batch for classes, and per class of a batch for words.
 NOISE_CLASSES, NOISE_WORDS = 16, 12
-BATCH = 16384
-RATE = 0.08
+BATCH = 8192
+RATE = 0.1
+#: Squared gradient that Adagrad starts from; gradients are means of a batch.
+START = 1e-11
 SMOOTH = 0.1
-#: Pieces in which parameters travel.
-CHUNKS = 16
+#: Tokens of a shard, about.  Rows are dealt to shards by hash; a shard trains in one task, in the order of the hashes.
+SHARD = 4_000_000
+#: Shard 0 trains first, then the others in so many rounds; after each round the shards' parameters are averaged.
+ROUNDS = 3
+#: Pieces in which parameters travel, and the models that one task averages.
+CHUNKS, FAN = 16, 64
 #: The name of the end token.
 END = 0
 
 
 @dataclass
 class Vocabulary:
-    """Head words sorted by hash with their counts and ids; id KNOWN is any other word."""
+    """Head words sorted by hash with their counts and ids; id ``known`` is any other word."""
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -42,16 +49,23 @@ class Vocabulary:
     known_counts: np.ndarray  # by id
     total: int
     distinct: int
+    side: int
 
     @classmethod
     def of(cls, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> Vocabulary:
+        side = max(LEAST_SIDE, math.ceil(SPREAD * distinct**0.25))
+        n = min(side * side, len(hashes))
         by_count = np.lexsort((hashes, -counts))
-        ids = np.full(len(hashes), KNOWN, np.int32)
-        ids[by_count[:KNOWN]] = np.arange(min(KNOWN, len(hashes)))
-        known = np.zeros(KNOWN)
-        known[: min(KNOWN, len(hashes))] = counts[by_count[:KNOWN]]
+        ids = np.full(len(hashes), side * side, np.int32)
+        ids[by_count[:n]] = np.arange(n)
+        known = np.zeros(side * side)
+        known[:n] = counts[by_count[:n]]
         order = np.argsort(hashes)
-        return cls(hashes[order], counts[order].astype(np.float64), ids[order], known, total, distinct)
+        return cls(hashes[order], counts[order].astype(np.float64), ids[order], known, total, distinct, side)
+
+    @property
+    def known(self) -> int:
+        return self.side * self.side
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the head, and whether the word is there."""
@@ -70,59 +84,74 @@ class Vocabulary:
 class Model:
     """h = T1[w1] + T2[w2] with T = R C; log P(w) = log softmax of classes + log softmax of the class's words."""
 
-    SHAPES = (("R", (KNOWN + 1, DIM)), ("C1", (DIM, DIM)), ("C2", (DIM, DIM)), ("A", (CLASSES + 1, DIM)), ("a", (CLASSES + 1,)), ("Q", (KNOWN, DIM)), ("b", (KNOWN,)))
-
     def __init__(self, vocabulary: Vocabulary):
         rng = np.random.default_rng(20)
-        counts = vocabulary.known_counts.reshape(CLASSES, WIDE) + SMOOTH
+        self.side, known = vocabulary.side, vocabulary.known
+        self.shapes = {"R": (2 * known, DIM), "C1": (DIM, DIM), "C2": (DIM, DIM), "A": (self.side + 1, DIM), "a": (self.side + 1,), "Q": (known, DIM), "b": (known,)}
+        counts = vocabulary.known_counts.reshape(self.side, self.side) + SMOOTH
         rest = vocabulary.rest_norm
         per_class = np.append(counts.sum(axis=1), rest)
         self.class_noise = per_class / per_class.sum()
         self.word_noise = counts / counts.sum(axis=1, keepdims=True)
         f = np.float32
-        self.R = (0.1 * rng.standard_normal((KNOWN + 1, DIM))).astype(f)
+        self.R = (0.1 * rng.standard_normal((2 * known, DIM))).astype(f)
         self.C1, self.C2 = np.eye(DIM, dtype=f), np.roll(np.eye(DIM, dtype=f), 1, axis=1)
-        self.A = np.zeros((CLASSES + 1, DIM), f)
+        self.A = np.zeros((self.side + 1, DIM), f)
         self.a = np.log(self.class_noise).astype(f)
-        self.Q = np.zeros((KNOWN, DIM), f)
+        self.Q = np.zeros((known, DIM), f)
         self.b = np.log(self.word_noise).ravel().astype(f)
+        self.squares = {k: np.full(shape, START, f) for k, shape in self.shapes.items()}
 
     def pack(self) -> np.ndarray:
-        return np.concatenate([getattr(self, k).ravel() for k, _ in self.SHAPES])
+        """All parameters, then the squares of their gradients so far."""
+        return np.concatenate([getattr(self, k).ravel() for k in self.shapes] + [self.squares[k].ravel() for k in self.shapes])
 
     def unpack(self, flat: np.ndarray) -> None:
         i = 0
-        for k, shape in self.SHAPES:
-            n = math.prod(shape)
-            setattr(self, k, flat[i : i + n].reshape(shape).astype(np.float32))
-            i += n
+        for squares in (False, True):
+            for k, shape in self.shapes.items():
+                n = math.prod(shape)
+                x = flat[i : i + n].reshape(shape).astype(np.float32)
+                i += n
+                if squares:
+                    self.squares[k] = x
+                else:
+                    setattr(self, k, x)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         return self.R @ self.C1, self.R @ self.C2
 
     def log_prob(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, tables) -> np.ndarray:
         """Natural log probability of each token, the rest class as one word."""
+        side = self.side
         h = tables[0][w1] + tables[1][w2]
         s = h @ self.A.T + self.a
-        c = w // WIDE
+        c = w // side
         out = s[np.arange(len(w)), c] - _log_sum(s)
         order = np.argsort(c, kind="stable")
-        edge = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
+        edge = np.searchsorted(c[order], np.arange(side + 1))
+        for k in range(side):
             idx = order[edge[k] : edge[k + 1]]
             if len(idx):
-                t = h[idx] @ self.Q[k * WIDE : (k + 1) * WIDE].T + self.b[k * WIDE : (k + 1) * WIDE]
-                out[idx] += t[np.arange(len(idx)), w[idx] - k * WIDE] - _log_sum(t)
+                t = h[idx] @ self.Q[k * side : (k + 1) * side].T + self.b[k * side : (k + 1) * side]
+                out[idx] += t[np.arange(len(idx)), w[idx] - k * side] - _log_sum(t)
         return out.astype(np.float64)
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
+    """Logarithm of each row's sum of exponentials; overwrites ``s``."""
     top = s.max(axis=1)
-    return np.log(np.exp(s - top[:, None]).sum(axis=1)) + top
+    s -= top[:, None]
+    np.exp(s, out=s)
+    return np.log(s.sum(axis=1)) + top
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.clip(x, -30, 30)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
@@ -131,80 +160,115 @@ class Trainer:
     def __init__(self, model: Model, seed: int = 1):
         self.m = model
         self.rng = np.random.default_rng(seed)
-        self.squares = {k: np.full(shape, 1e-4, np.float32) for k, shape in Model.SHAPES}
         self.class_cdf = np.cumsum(model.class_noise)
         self.word_cdf = np.cumsum(model.word_noise, axis=1)
         self.log_class = np.log(model.class_noise * NOISE_CLASSES).astype(np.float32)
         self.log_word = np.log(model.word_noise * NOISE_WORDS).astype(np.float32)
 
     def _move(self, k: str, g: np.ndarray) -> None:
-        q = self.squares[k]
+        q = self.m.squares[k]
         q += g * g
+        g /= np.sqrt(q)
+        g *= RATE
         p = getattr(self.m, k)
-        p += RATE * g / np.sqrt(q)
+        p += g
 
     def step(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> None:
-        m, n = self.m, len(w)
+        m, n, side = self.m, len(w), self.m.side
+        order = _order(w, side * side + 1)
+        w1, w2, w = w1[order], w2[order], w[order]  # by word, so by class too
+        c = w // side
         t1, t2 = m.tables()
         h = t1[w1] + t2[w2]
-        dh = np.zeros_like(h)
         # classes
-        c = w // WIDE
         true = 1 - _sigmoid((h * m.A[c]).sum(axis=1) + m.a[c] - self.log_class[c])
-        noise = np.minimum(np.searchsorted(self.class_cdf, self.rng.random(NOISE_CLASSES)), CLASSES)
+        noise = np.minimum(np.searchsorted(self.class_cdf, self.rng.random(NOISE_CLASSES)), side)
         fake = -_sigmoid(h @ m.A[noise].T + (m.a[noise] - self.log_class[noise]))
-        dh += true[:, None] * m.A[c] + fake @ m.A[noise]
-        dA = np.stack([np.bincount(c, true * h[:, j], CLASSES + 1) for j in range(DIM)], axis=1)
-        da = np.bincount(c, true, CLASSES + 1)
+        dh = true[:, None] * m.A[c] + fake @ m.A[noise]
+        dA, da = np.zeros_like(m.A), np.zeros_like(m.a)
+        at, first = _starts(c)
+        dA[at] = np.add.reduceat(true[:, None] * h, first)
+        da[at] = np.add.reduceat(true, first)
         np.add.at(dA, noise, fake.T @ h)
         np.add.at(da, noise, fake.sum(axis=0))
         # words within each class
+        known = int(np.searchsorted(w, side * side))
         dQ, db = np.zeros_like(m.Q), np.zeros_like(m.b)
-        order = np.argsort(c, kind="stable")
-        edge = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        draws = self.rng.random((CLASSES, NOISE_WORDS))
-        for k in range(CLASSES):
-            idx = order[edge[k] : edge[k + 1]]
-            if not len(idx):
-                continue
-            lo, hk, wk = k * WIDE, h[idx], w[idx]
-            noise = np.minimum(np.searchsorted(self.word_cdf[k], draws[k]), WIDE - 1)
-            q = m.Q[lo + noise]
-            good = 1 - _sigmoid((hk * m.Q[wk]).sum(axis=1) + m.b[wk] - self.log_word[k][wk - lo])
-            bad = -_sigmoid(hk @ q.T + (m.b[lo + noise] - self.log_word[k][noise]))
-            dh[idx] += good[:, None] * m.Q[wk] + bad @ q
-            hit = np.zeros((len(idx), WIDE), np.float32)
-            hit[np.arange(len(idx)), wk - lo] = good
-            dQ[lo : lo + WIDE] += hit.T @ hk
-            db[lo : lo + WIDE] += hit.sum(axis=0)
-            np.add.at(dQ, lo + noise, bad.T @ hk)
-            np.add.at(db, lo + noise, bad.sum(axis=0))
-        d1 = np.stack([np.bincount(w1, dh[:, j], KNOWN + 1) for j in range(DIM)], axis=1).astype(np.float32)
-        d2 = np.stack([np.bincount(w2, dh[:, j], KNOWN + 1) for j in range(DIM)], axis=1).astype(np.float32)
+        if known:
+            hw, words = h[:known], w[:known]
+            q = m.Q[words]
+            good = 1 - _sigmoid((hw * q).sum(axis=1) + m.b[words] - self.log_word.ravel()[words])
+            dh[:known] += good[:, None] * q
+            at, first = _starts(words)
+            dQ[at] = np.add.reduceat(good[:, None] * hw, first)
+            db[at] = np.add.reduceat(good, first)
+            edge = np.searchsorted(c[:known], np.arange(side + 1))
+            draws = self.rng.random((side, NOISE_WORDS))
+            for k in range(side):
+                i, j = edge[k], edge[k + 1]
+                if i == j:
+                    continue
+                noise = np.minimum(np.searchsorted(self.word_cdf[k], draws[k]), side - 1)
+                at = k * side + noise
+                q = m.Q[at]
+                bad = -_sigmoid(h[i:j] @ q.T + (m.b[at] - self.log_word[k][noise]))
+                dh[i:j] += bad @ q
+                np.add.at(dQ, at, bad.T @ h[i:j])
+                np.add.at(db, at, bad.sum(axis=0))
+        d1, d2 = (np.zeros_like(m.R) for _ in range(2))
+        for d, x in ((d1, w1), (d2, w2)):
+            order = _order(x, len(m.R))
+            at, first = _starts(x[order])
+            d[at] = np.add.reduceat(dh[order], first)
         grads = {"R": d1 @ m.C1.T + d2 @ m.C2.T, "C1": m.R.T @ d1, "C2": m.R.T @ d2, "A": dA, "a": da, "Q": dQ, "b": db}
         for k, g in grads.items():
-            self._move(k, (g / n).astype(np.float32))
+            self._move(k, g.astype(np.float32, copy=False) / np.float32(n))
+
+
+def _order(x: np.ndarray, below: int) -> np.ndarray:
+    return np.argsort(x.astype(np.uint16) if below <= 1 << 16 else x, kind="stable")
+
+
+def _starts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a sorted array, and where each begins."""
+    first = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
+    return x[first], first
 
 
-def _tokens(texts: list[bytes], vocabulary: Vocabulary):
-    """Token hashes of the texts with an end after each, its bounds, places in the head, found flags and ids."""
+def _names(texts: list[bytes], vocabulary: Vocabulary):
+    """Token hashes of the texts with an end after each, their bounds, places in the head, found flags and numbers.
+
+    A number below ``known`` is a word's that the network predicts; other words have one of ``known`` numbers above.
+    """
     w = Words(texts)
     bounds = w.bounds + np.arange(len(texts) + 1)
     h = np.zeros(len(w.hash) + len(texts), np.uint64)
-    ends = bounds[1:] - 1
     inner = np.ones(len(h), bool)
-    inner[ends] = False
+    inner[bounds[1:] - 1] = False
     h[inner] = np.where(w.hash == END, np.uint64(1), w.hash)
     at, found = vocabulary.find(h)
-    ids = np.where(found, vocabulary.ids[at] if len(vocabulary.ids) else KNOWN, KNOWN).astype(np.int64)
-    w1 = np.empty(len(h), np.int64)
-    w1[1:] = ids[:-1]
-    end_id = int(vocabulary.ids[0]) if len(vocabulary.hashes) and vocabulary.hashes[0] == END else KNOWN
-    w1[bounds[:-1]] = end_id
-    w2 = np.empty(len(h), np.int64)
+    known = vocabulary.known
+    numbers = np.where(found, vocabulary.ids[at] if len(vocabulary.ids) else known, known).astype(np.int64)
+    rest = numbers == known
+    numbers[rest] += (h[rest] % np.uint64(known)).astype(np.int64)
+    return h, bounds, at, found, numbers
+
+
+def _contexts(numbers: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words one and two places before each token; before a text stand ends."""
+    w1 = np.empty_like(numbers)
+    w1[1:] = numbers[:-1]
+    w1[bounds[:-1]] = end
+    w2 = np.empty_like(numbers)
     w2[1:] = w1[:-1]
-    w2[bounds[:-1]] = end_id
-    return h, bounds, at, found, ids, w1, w2
+    w2[bounds[:-1]] = end
+    return w1, w2
+
+
+def _end(vocabulary: Vocabulary) -> int:
+    """The end token's number; its hash is the least."""
+    first = int(vocabulary.ids[0]) if len(vocabulary.hashes) and vocabulary.hashes[0] == END else vocabulary.known
+    return first  # outside the known words, hash 0 has the first number of the others
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,50 +306,117 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([END], pa.int64()), pa.array([docs], pa.int64())], ["hash", "n"])
 
 
-def _train(shared):
+def _numbered(shared):
+    """Training rows ``(shard, h, text)`` to ``(shard, h, numbers)``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: Vocabulary = shared.value
-        model = Model(vocabulary)
-        trainer = Trainer(model)
-        seen, queue, waiting = 0, [], 0
         for b in batches:
-            learn = ~b.column(0).to_numpy(zero_copy_only=False)
-            for _, some in groups([t for t, keep in zip(as_bytes(b.column(1)), learn, strict=True) if keep], 1 << 20):
-                _, _, _, _, ids, w1, w2 = _tokens(some, vocabulary)
-                queue.append(np.stack([w1, w2, ids]))
-                waiting += len(ids)
-                if waiting >= BATCH:
-                    x = np.concatenate(queue, axis=1)
-                    whole = waiting - waiting % BATCH
-                    for i in range(0, whole, BATCH):
-                        trainer.step(*x[:, i : i + BATCH])
-                    queue, waiting = [x[:, whole:]], waiting - whole
-                    seen += whole
-        if waiting:
-            trainer.step(*np.concatenate(queue, axis=1))
-            seen += waiting
-        if seen:
-            flat = model.pack().astype(np.float64)
-            for k, piece in enumerate(np.array_split(flat, CHUNKS)):
-                salt = os.getpid() % CHUNKS
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([float(seen)]), pa.array([piece.astype(np.float32).tobytes()], pa.binary())], ["chunk", "salt", "weight", "data"])
+            for first, some in groups(as_bytes(b.column(2)), 1 << 20):
+                _, bounds, _, _, numbers = _names(some, vocabulary)
+                flat = numbers.astype(np.int32)
+                data = [flat[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(some)), b.column(1).slice(first, len(some)), pa.array(data, pa.binary())], ["shard", "h", "numbers"])
+
+    return run
+
+
+def _train(shared):
+    """Rows ``(shard, h, numbers)`` sorted by all three to the parameters that each shard ends with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, flat = shared.value
+        end, known = _end(vocabulary), vocabulary.known
+        now, trainer, seen, queue, waiting = None, None, 0, [], 0
+
+        def steps(whole: int) -> None:
+            x = np.concatenate(queue, axis=1)
+            for i in range(0, whole, BATCH):
+                trainer.step(*x[:, i : min(i + BATCH, whole)])
+            queue[:] = [x[:, whole:]]
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if waiting:
+                steps(waiting)
+            for k, piece in enumerate(np.array_split(trainer.m.pack(), CHUNKS)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([now], pa.int64()), pa.array([float(seen)]), pa.array([piece.tobytes()], pa.binary())], ["chunk", "shard", "weight", "data"])
+
+        for b in batches:
+            shards = b.column(0).to_numpy()
+            cut = np.flatnonzero(shards[1:] != shards[:-1]) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(shards)], strict=True):
+                if lo == hi:
+                    continue
+                if shards[lo] != now:
+                    if now is not None:
+                        yield from finish()
+                    model = Model(vocabulary)
+                    if flat is not None:
+                        model.unpack(flat)
+                    now, trainer, seen, queue, waiting = int(shards[lo]), Trainer(model, int(shards[lo])), 0, [], 0
+                for data in b.column(2).slice(lo, hi - lo).to_pylist():
+                    numbers = np.frombuffer(data, np.int32).astype(np.int64)
+                    w1, w2 = _contexts(numbers, np.array([0, len(numbers)]), end)
+                    queue.append(np.stack([w1, w2, np.minimum(numbers, known)]))
+                    waiting += len(numbers)
+                    seen += len(numbers)
+                    if waiting >= 16 * BATCH:
+                        whole = waiting - waiting % BATCH
+                        steps(whole)
+                        waiting -= whole
+        if now is not None:
+            yield from finish()
 
     return run
 
 
 def _average(table: pa.Table) -> pa.Table:
+    table = table.sort_by("shard")  # sums don't depend on the order of arrival
     weight = table.column("weight").to_numpy()
     total = None
     for i in range(len(weight)):
         x = np.frombuffer(table.column("data")[i].as_py(), np.float32).astype(np.float64) * weight[i]
         total = x if total is None else total + x
     data = (total / weight.sum()).astype(np.float32).tobytes()
-    return pa.table({"chunk": table.column("chunk").slice(0, 1), "salt": pa.array([0], pa.int32()), "weight": pa.array([weight.sum()]), "data": pa.array([data], pa.binary())})
+    return pa.table({"chunk": table.column("chunk").slice(0, 1), "shard": pa.array([table.column("shard")[0].as_py() // FAN]), "weight": pa.array([weight.sum()]), "data": pa.array([data], pa.binary())})
+
+
+def learn_parameters(docs: DataFrame, vocabulary: Vocabulary, stages: Stages) -> np.ndarray | None:
+    """Averaged parameters after all rounds; what they are doesn't depend on how the rows are partitioned."""
+    if not vocabulary.total:
+        return None
+    spark = stages.spark
+    shards = max(1, -(-vocabulary.total // SHARD))
+    h = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    rows = docs.where("not held_out").select(F.pmod(h, F.lit(shards)).alias("shard"), h.alias("h"), "text")
+    shared = spark.sparkContext.broadcast(vocabulary)
+    rows = stages.save(rows.mapInArrow(_numbered(shared), "shard long, h long, numbers binary"), "numbers")
+    shared.destroy()
+    schema = "chunk int, shard long, weight double, data binary"
+    flat = None
+    for r in range(min(ROUNDS + 1, shards)):
+        turn = F.col("shard") - 1
+        mine = F.col("shard") == 0 if r == 0 else (F.col("shard") > 0) & (F.pmod(turn, F.lit(ROUNDS)) == r - 1)
+        many = 1 if r == 0 else min(-(-shards // ROUNDS), 100_000)
+        shared = spark.sparkContext.broadcast((vocabulary, flat))
+        place = F.pmod(F.floor(F.greatest(turn, F.lit(0)) / ROUNDS), F.lit(many)).cast("int")
+        dealt = rows.where(mine).repartitionById(many, place).sortWithinPartitions("shard", "h", "numbers")
+        pieces = stages.save(dealt.mapInArrow(_train(shared), schema), "parameters")
+        left = 1 if r == 0 else shards
+        while left > 1:
+            pieces = pieces.groupBy("chunk", F.floor(F.col("shard") / FAN)).applyInArrow(_average, schema)
+            left = -(-left // FAN)
+        found = pieces.orderBy("chunk").collect()  # one model
+        if found:
+            flat = np.concatenate([np.frombuffer(p.data, np.float32) for p in found])
+        shared.destroy()
+    return flat
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, flat = shared.value
+        end = _end(vocabulary)
         model = Model(vocabulary)
         if flat is not None:
             model.unpack(flat)
@@ -295,12 +426,14 @@ def _score(shared):
         uid = int.from_bytes(os.urandom(7), "big")
         for b in batches:
             for first, some in groups(as_bytes(b.column(2)), 1 << 20):
-                h, bounds, at, found, ids, w1, w2 = _tokens(some, vocabulary)
+                h, bounds, at, found, numbers = _names(some, vocabulary)
+                ids = np.minimum(numbers, vocabulary.known)
+                w1, w2 = _contexts(numbers, bounds, end)
                 lp = np.concatenate([model.log_prob(w1[i : i + 32768], w2[i : i + 32768], ids[i : i + 32768], tables) for i in range(0, len(ids), 32768)]) / math.log(10)
                 logs = np.zeros(len(h))
                 if len(log_count):
                     logs[found] = log_count[at[found]]
-                lp += np.where(ids == KNOWN, logs - rest, 0.0)  # a tail word's own count is added after the join
+                lp += np.where(ids == vocabulary.known, logs - rest, 0.0)  # a tail word's own count is added after the join
                 begin = bounds[:-1]
                 tails = np.flatnonzero(~found)
                 doc = np.searchsorted(bounds, tails, side="right") - 1
@@ -322,15 +455,16 @@ def learn_vocabulary(docs: DataFrame, stages: Stages) -> tuple[DataFrame, Vocabu
     level = F.floor(F.log2("n") * 16).alias("level")
     by_level = counts.groupBy(level).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).orderBy(F.desc("level")).collect()  # at most 16 * 64 rows
     total, distinct = sum(r.tokens for r in by_level), sum(r.words for r in by_level)
-    kept, least = 0, None
+    kept, least, share = 0, 1 << 30, 0.0
     for r in by_level:
         if kept + r.words > HEAD:
+            share = (HEAD - kept) / r.words  # of the level that the head has no place for, words by hash
+            least = r.level + 1
             break
         kept, least = kept + r.words, r.level
-    if least is None:
-        head = counts.limit(0).toPandas()
-    else:
-        head = counts.where((F.floor(F.log2("n") * 16) >= least) | (F.col("hash") == END)).toPandas()  # at most HEAD + 1 rows
+    here = F.floor(F.log2("n") * 16)
+    some = (here == least - 1) & (F.shiftrightunsigned(F.xxhash64("hash"), 11) / float(1 << 53) < share)
+    head = counts.where((here >= least) | some | (F.col("hash") == END)).toPandas()  # HEAD words, but for chance in the share
     return counts, Vocabulary.of(head["hash"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64), int(total), int(distinct))
 
 
@@ -339,23 +473,17 @@ def score(docs: DataFrame, stages: Stages | None = None) -> DataFrame:
 
     Rows with crc32(doc_id as text) mod 10 = 0 are held out; a null doc_id counts as empty text.  A null text is
     empty and has the end token alone.  All other rows are learnt from: every training token is counted and is a
-    target of the network.  Each task trains on its own tokens from the same start, and the parameters are averaged,
-    weighted by tokens.  A word outside the known ones has its share of the rest class by its exact count.  Repeated
-    rows are scored, and learnt from, as often as they occur.
+    target of the network.  Shards of rows, dealt by hash, train in turn from the parameters that the rounds before
+    came to on average, weighted by tokens, so scores don't depend on how the rows are partitioned.  A word outside the
+    known ones has its share of the rest class by its exact count.  Repeated rows are scored, and learnt from, as
+    often as they occur.
     """
     stages = stages or Stages(docs.sparkSession, "lm")
     spark = stages.spark
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.crc32(name) % 10 == 0).alias("held_out"), "text")
     counts, vocabulary = learn_vocabulary(docs, stages)
-    flat = None
-    if vocabulary.total:
-        shared = spark.sparkContext.broadcast(vocabulary)
-        schema = "chunk int, salt int, weight double, data binary"
-        trained = docs.select("held_out", "text").mapInArrow(_train(shared), schema)
-        pieces = stages.save(trained, "parameters")
-        pieces = pieces.groupBy("chunk", "salt").applyInArrow(_average, schema).groupBy("chunk").applyInArrow(_average, schema).orderBy("chunk").collect()  # one model
-        flat = np.concatenate([np.frombuffer(p.data, np.float32) for p in pieces])
+    flat = learn_parameters(docs, vocabulary, stages)
     shared = spark.sparkContext.broadcast((vocabulary, flat))
     rows = docs.mapInArrow(_score(shared), "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, lp double, tail array<long>, times array<long>")
     rows = stages.save(rows, "scores")
