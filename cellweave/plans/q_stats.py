@@ -125,11 +125,14 @@ _NORMS = (
 
 
 def metric_rows(v: Views):
-    n = F.count(F.lit(1))
-    t = v.bins().join(v.cells(), "cell_id").groupBy("method", F.col("site").alias("roi")).agg(
-        (F.sum(F.col("in_tissue").cast("int")) / n).alias("a1_capture"), (F.sum("value") / F.countDistinct("gene_id")).alias("a1_umi_density"),
-        (F.percentile("value", 0.5) * 12).alias("a2_median_umi"), (F.percentile("value", 0.75) * 5).alias("a3_median_genes"), n.alias("n"),
-    )
+    rows = v.bins().join(v.cells(), "cell_id").select("method", F.col("site").alias("roi"), "gene_id", "value", F.col("in_tissue").cast("int").alias("in"))
+    # quantiles over counted values; a distinct count in the same aggregate would keep a buffer of values per gene
+    each = rows.groupBy("method", "roi", "value").agg(F.count(F.lit(1)).alias("c"), F.sum("in").alias("in"))
+    quantile = lambda p: F.percentile("value", p, F.col("c"))
+    n = F.sum("c")
+    t = each.groupBy("method", "roi").agg((F.sum("in") / n).alias("a1_capture"), F.sum(F.col("value") * F.col("c")).alias("_s"), (quantile(0.5) * 12).alias("a2_median_umi"), (quantile(0.75) * 5).alias("a3_median_genes"), n.alias("n"))
+    genes = rows.groupBy("method", "roi").agg(F.countDistinct("gene_id").alias("_g"))
+    t = t.join(genes, ["method", "roi"]).withColumn("a1_umi_density", F.col("_s") / F.col("_g")).drop("_s", "_g")
     k = lambda m: (F.col("n") % m).cast("double")
     return t.select("*", (0.01 * k(7)).alias("c1_coexpr"), F.when(F.col("n") % 5 != 0, 0.1 * k(9)).alias("ned"), (0.05 * k(11)).alias("d1_silhouette"), (0.9 - 0.02 * k(13)).alias("e1_immune_survival")).drop("n")
 
