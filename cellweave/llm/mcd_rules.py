@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import SPACES, Stages
 
@@ -11,16 +14,20 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Dimensions of the vector; the names of its transformed statistics.
 DIMS = ("log_words", "word_length", "symbols", "repeats")
-#: Standard deviation below which a dimension's spread never falls; half of the rows are often equal in it.
-FLOOR = (1.5, 0.35, 0.25, 0.35)
+#: Least standard deviation of a dimension: half of the rows are often equal in it, and then no spread can be estimated.
+FLOOR = (1.0, 0.2, 0.1, 0.25)
 #: Share of rows in the core, and the factor that makes the core's covariance consistent for four normal dimensions:
 #: alpha / P(chi2_6 <= q), with q the alpha quantile of chi2_4.
 ALPHA, CONSISTENT = 0.75, 1.486
 #: chi2_4 quantiles: 0.975 for the reweighted estimate; the cut-off is the 0.999 quantile.
 REWEIGHT, CUTOFF = 11.14, 18.47
 STEPS = 4
-#: A group with fewer rows is judged by the estimate of its language, a language with fewer by that of all rows.
-LEAST = 50
+#: Starts of the search for the least determinant: medians and median deviations, then thirds of the rows by hash.
+STARTS = 4
+#: Bins of a unit in histograms for quantiles, and digits that estimates keep: both make reruns agree, whatever the order of sums.
+BINS, DIGITS = 1024, 9
+#: A group with fewer rows, five a dimension, is judged by the estimate of its language, a language with fewer by that of all rows.
+LEAST = 20
 #: Cells whose estimates are sent to every task at most.
 BROADCAST = 10_000
 
@@ -79,27 +86,37 @@ def vectors(stats: DataFrame) -> DataFrame:
     return out.withColumns({f"x{i}": x for i, x in enumerate(xs)})
 
 
+def _quantiles(rows: DataFrame, keys: list[str], columns: list[str], share: float) -> DataFrame:
+    """Quantile of each column per key, as the middle of a histogram's bin; the histogram is a partial aggregate."""
+    bins = F.array(*[F.floor(F.col(c) * BINS) for c in columns])
+    counts = rows.select(*keys, F.posexplode(bins).alias("dim", "bin")).groupBy(*keys, "dim", "bin").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*keys, "dim")
+    counts = counts.withColumns({"below": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)}).where(F.col("below") >= F.lit(share) * F.col("all"))
+    return counts.groupBy(*keys).agg(*[((F.min(F.when(F.col("dim") == i, F.col("bin"))) + 0.5) / BINS).alias(c) for i, c in enumerate(columns)])
+
+
 def _moments(rows: DataFrame, keys: list[str], scale: float = 1.0) -> DataFrame:
     d = len(DIMS)
-    aggs = [F.avg(f"x{i}").alias(f"m{i}") for i in range(d)]
-    aggs += [(F.lit(scale) * F.coalesce(F.covar_pop(f"x{i}", f"x{j}"), F.lit(0.0))).alias(f"c{i}{j}") for i in range(d) for j in range(i + 1)]
+    aggs = [F.round(F.avg(f"x{i}"), DIGITS).alias(f"m{i}") for i in range(d)]
+    aggs += [F.round(F.lit(scale) * F.coalesce(F.covar_pop(f"x{i}", f"x{j}"), F.lit(0.0)), DIGITS).alias(f"c{i}{j}") for i in range(d) for j in range(i + 1)]
     return _cholesky(rows.groupBy(*keys).agg(*aggs))
 
 
 def _cholesky(g: DataFrame) -> DataFrame:
-    """Lower factor ``l_ij`` of the covariance plus the floor's squares on its diagonal."""
+    """Lower factor ``l_ij`` of the covariance, whose variances are the floors' squares at least."""
     d = len(DIMS)
-    g = g.withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + F.lit(FLOOR[i] ** 2) for i in range(d)})
+    g = g.withColumns({f"c{i}{i}": F.greatest(F.col(f"c{i}{i}"), F.lit(FLOOR[i] ** 2)) for i in range(d)})
     for i in range(d):
         for j in range(i + 1):
             s = F.col(f"c{i}{j}")
             for k in range(j):
                 s = s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            g = g.withColumn(f"l{i}{j}", F.sqrt(s) if i == j else s / F.col(f"l{j}{j}"))
+            # rounding may take the little that a variance leaves after the dimensions before it
+            g = g.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(1e-6))) if i == j else s / F.col(f"l{j}{j}"))
     return g.drop(*[f"c{i}{j}" for i in range(d) for j in range(i + 1)])
 
 
-def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+def _distance(rows: DataFrame, estimate: DataFrame, *more: str) -> DataFrame:
     """Squared Mahalanobis distance ``d2`` by forward substitution."""
     d = len(DIMS)
     out = rows.join(estimate, "cell")
@@ -109,16 +126,18 @@ def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
             y = y - F.col(f"l{i}{k}") * F.col(f"y{k}")
         out = out.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
     out = out.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, d)), F.col("y0") * F.col("y0")))
-    return out.select(*rows.columns, "d2")
+    return out.select(*rows.columns, *more, F.round("d2", DIGITS).alias("d2"))
 
 
 def judge(docs: DataFrame, stages: Stages | None = None) -> DataFrame:
     """``doc_id``, the base statistics, ``base_failed``, ``distance`` and ``kept`` of every row.
 
-    The minimum-covariance-determinant estimate of each (language, source) cell starts from medians and median
-    deviations; each concentration step keeps the three quarters of the cell's rows nearest to the estimate and
-    takes their mean and covariance.  A final estimate comes from the rows within the 0.975 quantile.  Quantiles
-    are mergeable sketches, moments are partial aggregates: a cell with a third of all rows spreads over all tasks.
+    The minimum-covariance-determinant estimate of each (language, source) cell is searched from several starts: medians
+    and median deviations, and the moments of thirds of the rows by hash.  Each concentration step keeps the three
+    quarters of the cell's rows nearest to the estimate and takes their mean and covariance.  Of the starts' ends, the one
+    with the least determinant counts, and a final estimate comes from the rows within its 0.975 quantile.  Quantiles
+    come from histograms, moments are partial aggregates: a cell with a third of all rows spreads over all tasks, and
+    reruns agree.
     Rows that fail the base rules are judged but not learnt from.  Null language or source is a value of its own.
     """
     stages = stages or Stages(docs.sparkSession, "rules")
@@ -138,22 +157,28 @@ def judge(docs: DataFrame, stages: Stages | None = None) -> DataFrame:
     used = stages.save(cells.select("cell").distinct(), "used")
     few = used.count() <= BROADCAST
     near = F.broadcast if few else (lambda x: x)  # a hot cell then stays spread; beyond, joins that Spark can split
-    learn = rows.where("not base_failed").select(F.explode(names).alias("cell"), *[f"x{i}" for i in range(len(DIMS))])
+    third = F.pmod(F.xxhash64("doc_id", *[f"x{i}" for i in range(len(DIMS))]), F.lit(STARTS - 1)).alias("third")
+    learn = rows.where("not base_failed").select(F.explode(names).alias("cell"), *[f"x{i}" for i in range(len(DIMS))], third)
     learn = stages.save(learn.join(near(used), "cell", "left_semi"), "learn")
 
     d = len(DIMS)
-    mid = learn.groupBy("cell").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(d)])
-    off = learn.join(near(mid), "cell").groupBy("cell", *[f"m{i}" for i in range(d)]).agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i in range(d)])
-    start = off.withColumns({f"c{i}{j}": F.pow(1.4826 * F.col(f"a{i}"), F.lit(2)) if i == j else F.lit(0.0) for i in range(d) for j in range(i + 1)}).drop(*[f"a{i}" for i in range(d)])
-    estimate = stages.save(_cholesky(start), "estimate")
-    for k in range(STEPS + 1):
-        far = _distance(learn, near(estimate))
-        if k < STEPS:
-            limit = far.groupBy("cell").agg(F.percentile_approx("d2", ALPHA, 1000).alias("limit"))
-            core = far.join(near(limit), "cell").where("d2 <= limit")
-        else:
-            core = far.where(F.col("d2") <= REWEIGHT)
-        estimate = stages.save(_moments(core, ["cell"], CONSISTENT if k < STEPS else 1.0), "estimate")
+    xs = [f"x{i}" for i in range(d)]
+    mid = _quantiles(learn, ["cell"], xs, 0.5).withColumnsRenamed({x: f"m{i}" for i, x in enumerate(xs)})
+    off = _quantiles(learn.join(near(mid), "cell").select("cell", *[F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"a{i}") for i in range(d)]), ["cell"], [f"a{i}" for i in range(d)], 0.5)
+    start = mid.join(near(off), "cell").withColumns({f"c{i}{j}": F.pow(1.4826 * F.col(f"a{i}"), F.lit(2)) if i == j else F.lit(0.0) for i in range(d) for j in range(i + 1)})
+    start = _cholesky(start.drop(*[f"a{i}" for i in range(d)])).withColumn("start", F.lit(0))
+    thirds = _moments(learn, ["cell", "third"]).withColumn("start", (F.col("third") + 1).cast("int")).drop("third")
+    estimate = stages.save(start.unionByName(thirds), "estimate")
+    for _ in range(STEPS):
+        far = _distance(learn, near(estimate), "start").withColumn("level", F.log1p("d2"))
+        limit = _quantiles(far, ["cell", "start"], ["level"], ALPHA).withColumnRenamed("level", "limit")
+        core = far.join(near(limit), ["cell", "start"]).where((F.floor(F.col("level") * BINS) + 0.5) / BINS <= F.col("limit"))
+        estimate = stages.save(_moments(core, ["cell", "start"], CONSISTENT), "estimate")
+    size = functools.reduce(lambda a, b: a * b, [F.col(f"l{i}{i}") for i in range(d)])  # the determinant's root
+    ends = [c for c in estimate.columns if c not in ("cell", "start")]
+    least = estimate.groupBy("cell").agg(F.min_by(F.struct(*ends), F.struct(F.round(size, DIGITS), "start")).alias("e")).select("cell", "e.*")
+    core = _distance(learn, near(stages.save(least, "least"))).where(F.col("d2") <= REWEIGHT)
+    estimate = stages.save(_moments(core, ["cell"]), "estimate")
     out = _distance(placed, near(estimate))
     # rows of a cell without any row that passes the base rules
     missing = placed.join(near(estimate.select("cell")), "cell", "left_anti").withColumn("d2", F.lit(None).cast("double"))
