@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -26,13 +27,13 @@ BLOCK = frozenset(
 )
 #: Elements that may be a template's subtree.
 CONTAINER = frozenset("aside blockquote details dialog div dl fieldset figure footer form header menu nav ol section table ul".split())
-DROPPED = frozenset("aside audio button canvas datalist dialog footer form head iframe input map menu nav object select svg template textarea video".split()) | RAW
+DROPPED = frozenset("aside button datalist dialog footer form head input menu nav select svg template textarea".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id names that mark what isn't the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
-    "notification popup modal newsletter subscribe signup sidebar rail widget widgets related recommended menu nav navbar navigation breadcrumb "
-    "breadcrumbs footer masthead topbar toolbar share sharing social comment comments commentlist disqus respond replies pagination pager login".split()
+    "notification popup modal newsletter sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar "
+    "comment comments commentlist disqus respond replies".split()
 )
 #: What closes an open element of the name: a start of one of these.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
@@ -44,7 +45,7 @@ _NAME = re.compile(r"[a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("tag", "up", "marked", "hidden", "hash", "depth")
+    __slots__ = ("tag", "up", "marked", "hash", "depth", "cut", "held", "bad", "node")
 
     def __init__(self, tag: str, up: Element | None, attrs: dict[str, str]):
         self.tag, self.up = tag, up
@@ -56,20 +57,14 @@ class Element:
             self.marked = False
         if role == "main":
             self.tag = "main"
-        self.hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
         self.hash = xxhash.xxh64(f"<{tag} {attrs.get('class', '')} {attrs.get('id', '')}>")
 
-    def line(self) -> Iterator[Element]:
-        e: Element | None = self
-        while e is not None:
-            yield e
-            e = e.up
-
 
 def parse(html: str) -> tuple[list[tuple[Element, str]], list[Element]]:
     """Blocks of text in page order, each with the element it stands in, and all elements, whose hashes cover their subtrees."""
     root = Element("html", None, {})
     stack, elements, blocks = [root], [root], []
+    open_ = Counter({"html": 1})  # elements on the stack by name
     text: list[str] = []
     pos = 0
 
@@ -90,6 +85,7 @@ def parse(html: str) -> tuple[list[tuple[Element, str]], list[Element]]:
     def close(to: int) -> None:
         while len(stack) > to:
             e = stack.pop()
+            open_[e.tag] -= 1
             stack[-1].hash.update(e.hash.digest())
 
     def add(s: str) -> None:
@@ -114,6 +110,8 @@ def parse(html: str) -> tuple[list[tuple[Element, str]], list[Element]]:
         if end:
             if tag in BLOCK:
                 flush()
+            if not open_[tag]:
+                continue
             k = len(stack) - 1
             stop = {"article", "main", "body", "table", "section", "div"} if tag not in BLOCK else {"body"} if tag not in ("p", "li") else {"article", "main", "body"}
             while k > 0 and stack[k].tag != tag and name not in stop and stack[k].tag not in stop:
@@ -154,6 +152,7 @@ def parse(html: str) -> tuple[list[tuple[Element, str]], list[Element]]:
             pass
         else:
             stack.append(e)
+            open_[e.tag] += 1
         if tag in BLOCK:
             at[0] = stack[-1]
     flush()
@@ -161,50 +160,76 @@ def parse(html: str) -> tuple[list[tuple[Element, str]], list[Element]]:
     return blocks, elements
 
 
-def main_blocks(html: str) -> tuple[list[tuple[str, list[int]]], set[int], int]:
-    """Candidate blocks of the main text with the subtrees they stand in; all subtrees that may be a template's; the main text's hash.
+def main_blocks(html: str) -> tuple[list[tuple[str, int]], list[tuple[int, int]], set[int], int]:
+    """Candidate blocks of the main text, each with the subtree it stands in, or -1; those subtrees, each with the
+    place of the next one that holds it, or -1; all subtrees that may be a template's; the main text's hash.
 
-    The main element is the longest article, else the main element, else the page.
+    The main text stands in the articles, all of them, else in the main elements, else in the page.
     """
-    blocks, _ = parse(html)
-    size: dict[Element, int] = {}
-    for e, t in blocks:
-        line = list(e.line())
-        if any(x.hidden for x in line):
-            continue
-        for k, x in enumerate(line):
-            if x.tag in ("article", "main") and not any(y.marked for y in line[k:]):
-                size[x] = size.get(x, 0) + len(t)
-    articles = [x for x in size if x.tag == "article"] or list(size)
-    main = max(articles, key=lambda x: size[x]) if articles else None
-    out, trees, name = [], {}, xxhash.xxh64()
+    blocks, elements = parse(html)
+    kinds = ("article", "main")
+    for e in elements:  # what holds an element comes before it
+        e.cut = e.marked or (e.up is not None and e.up.cut)
+        e.held = dict(e.up.held) if e.up is not None and e.up.held else {}
+        if e.tag in kinds and not e.cut:
+            e.held.setdefault(e.tag, e)  # the outermost one
+    kind = next((k for k in kinds if any(k in e.held for e, _ in blocks)), None)
+    nodes: list[tuple[Element, int]] = []
+    for e in elements:
+        top = e.held.get(kind) is e
+        above = e.up is None or top
+        e.bad = False if top else (e.up is not None and e.up.bad) or e.marked or (kind is None and e.tag in ("header", "title"))
+        e.node = -1 if above else e.up.node
+        if not top and e.tag in CONTAINER:
+            nodes.append((e, e.node))
+            e.node = len(nodes) - 1
+    out, name = [], xxhash.xxh64()
+    used, kept = [False] * len(nodes), [False] * len(nodes)
     for e, t in blocks:
-        line = list(e.line())
-        inside = line.index(main) if main in line else None
-        above = line[:inside] if inside is not None else line
-        trees.update((x, None) for x in above if x.tag in CONTAINER)
-        if main is not None and inside is None:
-            continue
-        bad = any(x.hidden or x.marked or (main is None and x.tag == "header") for x in above)
-        if main is None and not bad:
-            bad = any(x.tag == "title" for x in above)
-        if not bad:
-            out.append((t, [x for x in above if x.tag in CONTAINER]))
+        good = (kind is None or kind in e.held) and not e.bad
+        for seen in (used, kept) if good else (used,):
+            k = e.node
+            while k >= 0 and not seen[k]:
+                seen[k] = True
+                k = nodes[k][1]
+        if good:
+            out.append((t, e.node))
             name.update(t)
-    signed = lambda x: x.hash.intdigest() - (1 << 63)
-    return [(t, [signed(x) for x in xs]) for t, xs in out], {signed(x) for x in trees}, name.intdigest() - (1 << 63)
+    signed = lambda e: e.hash.intdigest() - (1 << 63)
+    place, trees = {-1: -1}, []
+    for k, (e, up) in enumerate(nodes):
+        if kept[k]:
+            place[k] = len(trees)
+            trees.append((signed(e), place[up]))
+    return [(t, place[k]) for t, k in out], trees, {signed(e) for k, (e, _) in enumerate(nodes) if used[k]}, name.intdigest() - (1 << 63)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("t", pa.string()), ("in", pa.list_(pa.int64()))]))
+    """Blocks and their subtrees as parallel lists; the html is the last column."""
+    names = ["texts", "places", "trees", "ups", "seen", "main"]
+    lists = [pa.list_(t) for t in (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64())]
     for b in batches:
-        blocks, trees, names = [], [], []
+        out: list[list] = [[] for _ in names]
         for html in b.column(b.num_columns - 1).to_pylist():
-            found, inside, name = main_blocks(html or "")
-            blocks.append([{"t": t, "in": xs} for t, xs in found])
-            trees.append(sorted(inside))
-            names.append(name)
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(blocks, kind), pa.array(trees, pa.list_(pa.int64())), pa.array(names, pa.int64())], [*b.schema.names[:-1], "blocks", "trees", "main"])
+            blocks, trees, seen, name = main_blocks(html or "")
+            for column, x in zip(out, ([t for t, _ in blocks], [k for _, k in blocks], [h for h, _ in trees], [u for _, u in trees], sorted(seen), name), strict=True):
+                column.append(x)
+        columns = [pa.array(x, t) for x, t in zip(out, [*lists, pa.int64()], strict=True)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], [*b.schema.names[:-1], *names])
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(page_id, url, texts, places, trees, ups, gone)`` to the text of the blocks that stand in no subtree that goes."""
+    for b in batches:
+        out = []
+        for texts, places, trees, ups, gone in zip(*(b.column(i).to_pylist() for i in range(2, 7)), strict=True):
+            if gone:
+                gone, bad = set(gone), []
+                for h, up in zip(trees, ups, strict=True):
+                    bad.append(h in gone or (up >= 0 and bad[up]))
+                texts = [t for t, k in zip(texts, places, strict=True) if k < 0 or not bad[k]]
+            out.append("\n".join(texts))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
 def host_of(url: Column) -> Column:
@@ -217,26 +242,23 @@ def main_text(pages: DataFrame, stages: Stages | None = None) -> DataFrame:
     Subtrees that stand in LEAST_PAGES or more different pages of a host, however large it is, are the template's and
     go; pages with the same main text count once, so copies of an article are no template.  What holds
     the article is never a template.  Navigation, headers, footers, asides, forms, notices, adverts and comments that
-    vary from page to page are known by element, role, class or id.  If nothing is left, the text is that without the
-    template rule.  A null html is empty; a null or hostless url belongs to the host without a name.  Repeated rows
+    vary from page to page, which no count of subtrees can tell, are known by element, role, class or id.  A page of
+    template alone has no text.  A null html is empty; a null or hostless url belongs to the host without a name.  Repeated rows
     give repeated results.
     """
     stages = stages or Stages(pages.sparkSession, "template")
     fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
     rows = pages.select("page_id", "url", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.xxhash64("page_id", "url", "html").alias("uid"), "html")
-    parsed = rows.mapInArrow(_parse, f"{fields}, host string, uid long, blocks array<struct<t: string, in: array<long>>>, trees array<long>, main long")
-    seen = stages.save(parsed.select(F.xxhash64("host").alias("h"), "uid", "main", "trees"), "subtrees")
-    each = seen.select("h", "main", F.explode("trees").alias("tree")).distinct().groupBy("h", "tree").agg(F.count(F.lit(1)).alias("n"))
-    template = each.where(F.col("n") >= LEAST_PAGES).select("h", "tree")
+    parsed = rows.mapInArrow(_parse, f"{fields}, host string, uid long, texts array<string>, places array<int>, trees array<long>, ups array<int>, seen array<long>, main long")
+    parsed = stages.save(parsed.withColumn("host", F.xxhash64("host")), "parsed")
+    seen = parsed.select("host", "main", F.explode("seen").alias("tree")).distinct()
+    template = seen.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES).select("host", "tree")
     template = stages.save(template, "template")
     if template.count() <= BROADCAST:
-        gone = F.broadcast(template.groupBy("h").agg(F.collect_list("tree").alias("gone")))
-        joined = parsed.withColumn("h", F.xxhash64("host")).join(gone, "h", "left")
+        gone = F.broadcast(template.groupBy("host").agg(F.collect_list("tree").alias("gone")))
+        joined = parsed.join(gone, "host", "left")
     else:
-        hits = seen.select("h", "uid", F.explode("trees").alias("tree")).join(template, ["h", "tree"], "left_semi").groupBy("uid").agg(F.collect_set("tree").alias("gone"))
+        hits = parsed.select("host", "uid", F.explode("trees").alias("tree")).join(template, ["host", "tree"], "left_semi").groupBy("uid").agg(F.collect_set("tree").alias("gone"))
         joined = parsed.join(hits, "uid", "left")
-    text = lambda bs: F.concat_ws("\n", F.transform(bs, lambda b: b["t"]))
-    kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["in"], F.col("gone"))))
-    joined = joined.withColumn("kept", kept)
-    out = joined.select("page_id", "url", F.when(F.size("kept") > 0, text(F.col("kept"))).otherwise(text(F.col("blocks"))).alias("text"))
+    out = joined.select("page_id", "url", "texts", "places", "trees", "ups", "gone").mapInArrow(_without, f"{fields}, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
