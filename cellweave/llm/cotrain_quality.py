@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,12 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stages
-from .textkernel import SEP, as_bytes, groups, mix, prefix_hash, span_hash
+from .textkernel import SEP, as_bytes, forget, groups, mix, prefix_hash, span_hash
 
 #: Hash buckets of the text view's words, and of the metadata view.
 TEXT_DIM, META_DIM = 1 << 17, 1 << 12
-#: Labelled rows that the first fit uses at most; rows are taken in the order of their ids' hashes.
-LABELLED = 12_000
+#: Labelled rows that the first fit uses at most, and MB of their features; rows are taken in the order of their ids' hashes.
+LABELLED, LABELLED_MB = 12_000, 96
 #: Rounds, and how many confident documents of each class each view hands to the other per round.
 ROUNDS, GROWTH = 3, 250
 #: Probability that a view must give a class before it vouches for it.
@@ -60,21 +62,24 @@ def text_features(texts: list[bytes]) -> list[np.ndarray]:
         own = words[bounds[i] : bounds[i + 1]]
         distinct = np.unique(own)
         kinds = int(20 * len(distinct) / max(len(own), 1))
-        size = int(np.log2(n + 1))
         spread = int(min(12, (n - (gaps[b] - gaps[a])) / max(len(own), 1)))
-        shape = np.concatenate([np.arange(len(_CLASSES)) * 11 + level, [200 + kinds, 240 + size, 280 + spread]])
+        shape = np.concatenate([np.arange(len(_CLASSES)) * 11 + level, [200 + kinds, 280 + spread]])
         out.append(np.concatenate([shape, distinct]))
     return out
 
 
+@functools.lru_cache(1 << 16)
+def _bucket(part: str) -> int:
+    return int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "little") % META_DIM
+
+
 def meta_features(lang, source, n_chars) -> list[np.ndarray]:
     """Language, source, their pair and the size's level, hashed; null is a value of its own."""
     out = []
     for x in zip(lang, source, n_chars, strict=True):
         size = -1 if x[2] is None else int(2 * np.log2(max(x[2], 0) + 1))
         parts = [f"l{x[0]!r}", f"s{x[1]!r}", f"p{x[0]!r}{x[1]!r}", f"c{size}", f"k{x[0]!r}{size}"]
-        h = np.array([int.from_bytes(p.encode()[:96].rjust(8, b"."), "big") % (2**64 - 59) for p in parts], np.uint64)
-        out.append((mix(h) % np.uint64(META_DIM)).astype(np.int64))
+        out.append(np.array([_bucket(p) for p in parts], np.int64))
     return out
 
 
@@ -99,11 +104,14 @@ class View:
         return self.slope * self.margin(sets) + self.shift
 
 
-def fit(sets: list[np.ndarray], y: np.ndarray, weight: np.ndarray, dim: int, l2: float, screen: float = 0.0, epochs: int = 120) -> View:
-    """Weighted logistic regression by Adam on the full gradient, over the features that pass the screen."""
+def fit(sets: list[np.ndarray], y: np.ndarray, weight: np.ndarray, dim: int, l2: float, screen: float = 0.0, prior: float = 0.0, epochs: int = 120) -> View:
+    """Weighted logistic regression by Adam on the full gradient, over the features that pass the screen.
+
+    Where all rows are of one class there is nothing to tell apart, and the view knows the prior only.
+    """
     view = View(np.zeros(dim))
     if not len(y) or y.min() == y.max():
-        view.bias = 4.0 if len(y) and y[0] else (-4.0 if len(y) else 0.0)
+        view.bias = prior
         return view
     flat = np.concatenate(sets)
     size = np.array([len(s) for s in sets])
@@ -162,10 +170,11 @@ def calibrate(view: View, sets: list[np.ndarray], y: np.ndarray) -> View:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(doc_id, text, lang, source, n_chars)`` to ids and both views' feature numbers as packed 32-bit integers."""
+    forget()
     for b in batches:
         texts = as_bytes(b.column(1))
         lang, source, n_chars = (b.column(i).to_pylist() for i in (2, 3, 4))
-        for first, some in groups(texts, 2 << 20):
+        for first, some in groups(texts, 1 << 20):
             k = slice(first, first + len(some))
             t = [x.astype(np.int32).tobytes() for x in text_features(some)]
             m = [x.astype(np.int32).tobytes() for x in meta_features(lang[k], source[k], n_chars[k])]
@@ -196,20 +205,30 @@ def _key(docs: DataFrame) -> Column:
     return F.xxhash64(*columns, *[x.isNull() for x in columns])
 
 
-def train(docs: DataFrame, labels: DataFrame, stages: Stages, rounds: int = ROUNDS, labelled: int = LABELLED) -> tuple[View, View, float, DataFrame]:
+def spark_ids(stages: Stages, ids: list[int]) -> DataFrame:
+    """A bounded list of doc_ids as a table."""
+    return stages.spark.createDataFrame([(i,) for i in ids], "doc_id long")
+
+
+def train(docs: DataFrame, labels: DataFrame, stages: Stages, rounds: int = ROUNDS, labelled: int = LABELLED, growth: int = GROWTH) -> tuple[View, View, float, DataFrame]:
     """Both calibrated views, the prior's logit, and the table of features.
 
     A document is good if its quality is 1 and it is not toxic.  Each round, each view scores every unlabelled
-    document, and the GROWTH documents of each class it is surest of join the other view's training rows with the
-    weight of its probability.  At most ``labelled`` rows and 4 * GROWTH documents a round reach the driver.
+    document, and the ``growth`` documents of each class it is surest of join the other view's training rows with the
+    weight of its probability.  At most ``labelled`` rows, LABELLED_MB of features and 4 * ``growth`` documents a round
+    reach the driver.  Of several rows of a labelled doc_id, the one with the least hash is learnt from.
     """
     table = stages.save(docs.select(*_inputs(docs), _key(docs).alias("key")).mapInArrow(_features, "doc_id long, t binary, m binary, key long"), "features")
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(((F.col("quality") > 0) & (F.coalesce("toxic", F.lit(0)) <= 0)).cast("int")).alias("good"))
     order = F.xxhash64("doc_id", F.lit(7))
     there = good.join(table.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = stages.save(there.withColumn("_o", order).orderBy("_o", "doc_id").limit(labelled).select("doc_id", "good"), "labelled")
+    chosen = stages.save(there.withColumn("_o", order).orderBy("_o", "doc_id").limit(labelled).select("doc_id", "good", "_o"), "labelled")
     # features never cross the network: the bounded samples go to them
-    known = table.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
+    one = table.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "good", "_o").agg(F.min_by(F.struct("t", "m"), "key").alias("x"))
+    one = stages.save(one.select("doc_id", "good", "_o", "x.t", "x.m"), "known")
+    sizes = one.select("doc_id", "_o", (F.length("t") + F.length("m")).alias("bytes")).toPandas().sort_values(["_o", "doc_id"])
+    within = spark_ids(stages, sizes.doc_id[sizes.bytes.cumsum() <= LABELLED_MB * 1_000_000].tolist())
+    known = one.join(F.broadcast(within), "doc_id", "left_semi").toPandas().sort_values("doc_id", ignore_index=True)
     y = known.good.to_numpy(float)
     ts, ms = _sets(known.t), _sets(known.m)
     held = (mix(known.doc_id.to_numpy(np.int64).view(np.uint64)) % np.uint64(HELD)) == 0
@@ -224,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, stages: Stages, rounds: int = ROUN
             x = pick(sets, learn) + [v[0] for v in more[k].values()]
             yy = np.concatenate([y[learn], [v[1] for v in more[k].values()]])
             w = np.concatenate([np.ones(len(learn)), [v[2] for v in more[k].values()]])
-            views.append(calibrate(fit(x, yy, w, dim, l2, screen), pick(sets, test), y[test]))
+            views.append(calibrate(fit(x, yy, w, dim, l2, screen, prior), pick(sets, test), y[test]))
         if r == rounds or not len(y):
             break
         least = float(np.log(CONFIDENT / (1 - CONFIDENT)))
@@ -233,10 +252,11 @@ def train(docs: DataFrame, labels: DataFrame, stages: Stages, rounds: int = ROUN
         sure = None
         for k, name in enumerate(("text_logit", "meta_logit")):
             for cls, z in ((1, F.col(name)), (0, -F.col(name))):
-                top = scored.where(z >= least).orderBy(z.desc(), F.xxhash64("doc_id"), "doc_id").limit(GROWTH).select("doc_id", F.lit(1 - k).alias("to"), F.lit(cls).alias("cls"), z.alias("z"))
+                top = scored.where(z >= least).orderBy(z.desc(), F.xxhash64("doc_id"), "doc_id").limit(growth).select("doc_id", F.lit(1 - k).alias("to"), F.lit(cls).alias("cls"), z.alias("z"))
                 sure = top if sure is None else sure.union(top)
         sure = stages.save(sure, "sure")
-        rows = table.join(F.broadcast(sure), "doc_id").select("doc_id", "to", "cls", "z", "t", "m").dropDuplicates(["doc_id", "to", "cls"]).collect()  # at most 4 * GROWTH rows
+        least_key = F.min_by(F.struct("z", "t", "m"), "key").alias("x")
+        rows = table.join(F.broadcast(sure), "doc_id").groupBy("doc_id", "to", "cls").agg(least_key).select("doc_id", "to", "cls", "x.*").collect()  # at most 4 * growth rows
         for row in sorted(rows, key=lambda x: (x.to, x.doc_id, x.cls)):
             weight = 0.5 / (1 + np.exp(-min(row.z, 30)))
             more[row.to][row.doc_id] = (np.frombuffer(row.t if row.to == 0 else row.m, np.int32), float(row.cls), float(weight))
@@ -250,7 +270,8 @@ def score(docs: DataFrame, labels: DataFrame, stages: Stages | None = None, **op
     Scores are probabilities that the document is good; the combined logit is the sum of the views' calibrated
     logits less that of the prior, since the views are taken as independent given the class.  ``kept`` is
     score >= 0.5.  Null texts are empty, null metadata values of their own; without labels every score is 0.5.
-    Repeated rows are scored alike; extra columns are ignored.
+    Repeated rows are scored alike; extra columns are ignored.  With labels of one class only, every score is the
+    smoothed prior, so that all documents are kept or none.  Options: ``rounds``, ``labelled``, ``growth``.
     """
     return _score(docs, labels, stages, **options).drop("key")
 
