@@ -289,7 +289,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learn = ~b.column(0).to_numpy(zero_copy_only=False)
         texts = [t for t, keep in zip(as_bytes(b.column(1)), learn, strict=True) if keep]
         docs += len(texts)
-        for _, some in groups(texts, 1 << 21):
+        for _, some in groups(texts, 1 << 20):
             h = Words(some).hash
             held.append(np.unique(np.where(h == END, np.uint64(1), h), return_counts=True))
             size += len(held[-1][0])

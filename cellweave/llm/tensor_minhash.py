@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stages, components
-from .textkernel import Words, as_bytes, groups, mix
+from .textkernel import Words, as_bytes, forget, groups, mix
 
 #: Each side of the tensor has SIDE collections of ROWS minhashes; a table key joins one of each side, so
 #: SIDE * SIDE tables of 2 * ROWS rows cost 2 * SIDE * ROWS minhashes.  At similarity 0.85 a collection agrees with
@@ -130,6 +130,7 @@ def first_table(a: str, b: str) -> Column:
 
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             texts = as_bytes(b.column(1))
             for first, run_ in groups(texts):
@@ -209,12 +210,12 @@ def verify(stages: Stages, pairs: DataFrame, classes: DataFrame, docs: DataFrame
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, stages: Stages | None = None) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, text_hash`` of every row of ``docs(doc_id, text)``.
+    """``doc_id, n_shingles, component_id, kept, text_hash, component`` of every row of ``docs(doc_id, text)``.
 
     Rows with equal shingle sets are one class; classes whose sets have a Jaccard similarity of ``percent`` / 100 or
     more are linked; components close the links.  A null or wordless text is an empty set and links with nothing.
     Repeated doc_ids are allowed; component_id is the smallest non-null doc_id of the component, kept tells whether
-    the row's doc_id is that one.  Extra columns are ignored.
+    the row's doc_id is that one.  ``component`` names the component, null for an empty set.  Extra columns are ignored.
 
     No bucket is expanded into pairs.  The popularity of a class is the number of rows in its buckets: an original is
     more popular than its copies, which are farther from each other than from it.  First each class is compared with
@@ -281,20 +282,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, stages:
     # smallest doc_id of each component
     node = rows.select("doc_id", "text_hash", "n_shingles", "cls").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = node.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = node.where("n_shingles > 0").join(first, "component").select("doc_id", "n_shingles", "component_id", "text_hash")
-    alone = node.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
-    return out.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
+    out = node.where("n_shingles > 0").join(first, "component").select("doc_id", "n_shingles", "component_id", "text_hash", "component")
+    alone = node.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("long").alias("component"))
+    return out.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", "text_hash", "component")
 
 
 def deduplicate(docs: DataFrame, stages: Stages | None = None, **options) -> DataFrame:
-    """The rows of ``docs`` of which one stays for each component: one with the smallest doc_id.
+    """The rows of ``docs`` of which one stays for each component: that with the smallest doc_id, null last, then text hash.
 
     Rows without words are all different and stay.  Of rows that repeat a doc_id with the same text one stays.
     """
     stages = stages or Stages(docs.sparkSession, "minhash")
-    found = near_duplicates(docs, stages=stages, **options).where("kept")
-    kept = found.groupBy(F.col("doc_id").alias("_cw_id"), F.col("text_hash").alias("_cw_hash")).agg(F.count(F.lit(1)).alias("_cw_rows"))
-    kept = stages.save(kept, "kept")
+    rows = near_duplicates(docs, stages=stages, **options).groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    rows = stages.save(rows, "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash", "rows")).alias("m")
+    kept = rows.where("component is not null").groupBy("component").agg(first).select("m.doc_id", "m.text_hash", "m.rows")
+    kept = kept.union(rows.where("component is null").select("doc_id", "text_hash", "rows"))
+    kept = stages.save(kept.toDF("_cw_id", "_cw_hash", "_cw_rows"), "kept")
     key = docs["doc_id"].cast("long").eqNullSafe(F.col("_cw_id")) & (F.xxhash64(docs["text"]) == F.col("_cw_hash"))
     rows = docs.join(kept.where("_cw_rows = 1"), key, "left_semi")
     again = kept.where("_cw_rows > 1")

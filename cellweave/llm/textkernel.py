@@ -7,9 +7,13 @@ byte-wise splitting equals code-point-wise splitting.
 
 from __future__ import annotations
 
+import ctypes
+import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SEP = np.zeros(256, dtype=bool)
 SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -28,7 +32,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i (mod 2**64) for i in 0..n."""
     if len(_powers[0]) <= n:
-        size = max(1 << 16, 1 << int(n).bit_length())
+        size = (int(n) | 0x3FFFF) + 1
         for k, base in enumerate((int(BASE), _INV)):
             full = np.full(size + 1, np.uint64(base))
             full[0] = 1
@@ -59,7 +63,7 @@ def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix(raw ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
-def groups(texts: Iterable[bytes], limit: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def groups(texts: Iterable[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about ``limit`` bytes with the index of their first text; a longer text stands alone."""
     run: list[bytes] = []
     first = size = 0
@@ -75,17 +79,27 @@ def groups(texts: Iterable[bytes], limit: int = 4 << 20) -> Iterator[tuple[int,
 
 def as_bytes(column) -> list[bytes]:
     """Texts of an Arrow string column as bytes; null is empty."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
     return column.to_pylist()
 
 
+_remembered: weakref.WeakSet[Remembered] = weakref.WeakSet()
+
+
+def forget() -> None:
+    """Empties what this worker remembers; an operator that remembers nothing calls it, so that memory goes to the one at work."""
+    for r in _remembered:
+        r.new, r.old = {}, {}
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc keeps what is freed
+        trim(0)
+
+
 class Remembered:
     """Results by hash in two generations: as the newer one is full, what it doesn't hold again is forgotten."""
 
     def __init__(self, limit: int):
+        _remembered.add(self)
         self.limit = limit
         self.new: dict[int, bytes] = {}
         self.old: dict[int, bytes] = {}

@@ -403,7 +403,7 @@ def _write(path: str, end: int, segment: int):
 
         for b in batches:
             doc_ids = b.column(0).to_pylist()
-            for first, some in groups(as_bytes(b.column(1)), 2 << 20):
+            for first, some in groups(as_bytes(b.column(1)), 1 << 20):
                 for k, ids in enumerate(coder.encode(some)):
                     names.append(doc_ids[first + k])
                     sizes.append(len(ids) // 2 + 1)
