@@ -25,9 +25,13 @@ from .textkernel import Remembered, as_bytes, groups, prefix_hash, span_hash
 
 BLANK = "▁"
 #: Chunks of one generation that a worker remembers.
-REMEMBER = 600_000
+REMEMBER = 450_000
 #: Chunks that one index holds.
 INDEXED = 30_000
+#: Places of a chunk that are relaxed side by side with those of the other chunks; edges that end further on come one by one.
+STEPS = 48
+#: Bits of the slot number in the table of pairs that are known to stand side by side or not.
+PAIR_BITS = 21
 _START, _UNSET, _OTHER = -1, -2, -3
 
 
@@ -64,8 +68,9 @@ class Vocabulary:
             self.codes[i, : len(p)] = [ord(c) for c in p]
         self.text = dict(zip(self.ids.tolist(), self.pieces, strict=True))
         self.single = np.array(sorted(ord(p) for p in self.pieces if len(p) == 1), np.int32)
-        self.follows: dict[int, bool] = {}
-        self.alone: dict[int, bool] = {}
+        self.pair_key = np.full(1 << PAIR_BITS, -1, np.int64)
+        self.pair_ok = np.zeros(1 << PAIR_BITS, bool)
+        self.alone = np.full(self.size, -1, np.int8)
         self.split: dict[str, tuple[str, str]] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -83,19 +88,35 @@ class Vocabulary:
                 self.split[text] = (parts[0], parts[1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def stands(self, piece: int) -> bool:
-        """Whether the piece's own text is encoded as the piece."""
-        if (out := self.alone.get(piece)) is None:
-            out = self.alone[piece] = self.merged(self.text[piece]) == [self.text[piece]]
-        return out
+    def stand(self, pieces: np.ndarray) -> np.ndarray:
+        """Whether each piece's own text is encoded as the piece."""
+        for t in np.unique(pieces[self.alone[pieces] < 0]).tolist():
+            self.alone[t] = self.merged(self.text[t]) == [self.text[t]]
+        return self.alone[pieces] > 0
 
-    def may_follow(self, a: int, b: int) -> bool:
+    def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each two pieces, encoded together, come out as these two."""
         key = a * 65536 + b
-        if (out := self.follows.get(key)) is None:
-            if len(self.follows) > 1_500_000:
-                self.follows.clear()
-            x, y = self.text[a], self.text[b]
-            out = self.follows[key] = self.stands(a) and self.stands(b) and self.border_holds(x, y)
+        slot = ((key * 0x9E3779B1) >> 7) & ((1 << PAIR_BITS) - 1)
+        out, lost = self.pair_ok[slot], np.flatnonzero(self.pair_key[slot] != key)
+        if len(lost):
+            new, at = np.unique(key[lost], return_inverse=True)
+            x, y = new >> 16, new & 65535
+            both = self.stand(x) & self.stand(y)
+            ok = np.array([z and self.border_holds(self.text[i], self.text[j]) for i, j, z in zip(x.tolist(), y.tolist(), both.tolist(), strict=True)])
+            out[lost] = ok[at]
+            where = ((new * 0x9E3779B1) >> 7) & ((1 << PAIR_BITS) - 1)
+            where, one = np.unique(where, return_index=True)
+            self.pair_key[where], self.pair_ok[where] = new[one], ok[one]
+        return out
+
+    def passes(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether an edge with ``piece`` may be taken where the encoding so far ends with ``last``."""
+        out = np.ones(len(piece), bool)  # a character without a piece always stands
+        first = np.flatnonzero((piece != _OTHER) & (last < 0))
+        out[first] = self.stand(piece[first])
+        pair = np.flatnonzero((piece != _OTHER) & (last >= 0))
+        out[pair] = self.may_follow(last[pair], piece[pair])
         return out
 
     def border_holds(self, x: str, y: str) -> bool:
@@ -170,15 +191,8 @@ def occurrences(v: Vocabulary, codes: np.ndarray, order: np.ndarray) -> tuple[np
     return search(False), search(True)
 
 
-def _rows(a: np.ndarray, b: np.ndarray, c: np.ndarray, order: np.ndarray, step: int = 1 << 16):
-    """Rows of three columns in an order, made into Python numbers a block at a time."""
-    for i in range(0, len(order), step):
-        k = order[i : i + step]
-        yield from zip(a[k].tolist(), b[k].tolist(), c[k].tolist(), strict=True)
-
-
-def encode_chunks(v: Vocabulary, chunks: list[str]) -> list[list[int]]:
-    """Ids of each chunk (blanks then other characters), together."""
+def encode_chunks(v: Vocabulary, chunks: list[str]) -> list[bytes]:
+    """Ids of each chunk (blanks then other characters), together, as little-endian 16-bit integers."""
     if not chunks:
         return []
     raw = np.frombuffer("\0".join([*chunks, ""]).encode("utf-32-le"), np.int32).copy()
@@ -195,40 +209,55 @@ def encode_chunks(v: Vocabulary, chunks: list[str]) -> list[list[int]]:
     size = np.concatenate([v.length[piece], np.ones(len(other), np.int64)])
     ids = np.concatenate([v.ids[piece], np.full(len(other), _OTHER)])
     # an edge may not cross the end of a chunk: no piece holds the separator, so none does
-    by_end = np.lexsort((start, start + size))
-    last = [_UNSET] * (len(raw) + 1)
-    came = [0] * (len(raw) + 1)
-    for b in begin.tolist():
-        last[b] = _START
-    follow, stands, known = v.may_follow, v.stands, v.follows
-    for s, e, t in _rows(start, start + size, ids, by_end):
-        if last[e] != _UNSET:
-            continue
-        p = last[s]
-        if p == _UNSET:
-            continue
-        if t == _OTHER:
-            ok = True
-        elif p < 0:
-            ok = stands(t)
-        else:
-            ok = known.get(p * 65536 + t)
-            if ok is None:
-                ok = follow(p, t)
-        if ok:
-            last[e], came[e] = t, s
-    out = []
-    for b, n, chunk in zip(begin.tolist(), sizes.tolist(), chunks, strict=True):
-        i, back = b + n, []
-        while i > b:
-            t, s = last[i], came[i]
-            if t == _OTHER:
-                back.extend(v.byte[x] for x in reversed(chunk[s - b].encode()))
-            else:
-                back.append(t)
-            i = s
-        out.append(back[::-1])
-    return out
+    # place by place, all chunks side by side; among edges into one place, the one from furthest back comes first
+    end = start + size
+    far = end - np.repeat(begin, sizes + 1)[start]
+    by_place = np.lexsort((start, end, np.minimum(far, STEPS + 1)))
+    start, end, ids = start[by_place], end[by_place], ids[by_place]
+    edge = np.searchsorted(far[by_place], np.arange(1, STEPS + 2)) if len(far) else np.zeros(STEPS + 1, np.int64)
+    last = np.full(len(raw) + 1, _UNSET, np.int64)
+    came = np.zeros(len(raw) + 1, np.int64)
+    last[begin] = _START
+
+    def take(i: int, j: int) -> None:
+        live = i + np.flatnonzero(last[start[i:j]] != _UNSET)
+        live = live[v.passes(last[start[live]], ids[live])][::-1]  # the first of several is written last
+        last[end[live]], came[end[live]] = ids[live], start[live]
+
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if i < j:
+            take(i, j)
+    tail = int(edge[-1])
+    places = np.flatnonzero(np.concatenate([[True], end[tail + 1 :] != end[tail:-1]])) + tail if tail < len(end) else np.zeros(0, np.int64)
+    for i, j in zip(places.tolist(), [*places[1:].tolist(), len(end)], strict=True) if len(places) else ():
+        take(i, j)
+    # back from the ends, all chunks side by side
+    at, live, found = begin + sizes, np.arange(len(chunks)), []
+    while len(live):
+        found.append((live, last[at], came[at]))
+        at = came[at]
+        on = at > begin[live]
+        at, live = at[on], live[on]
+    chunk = np.concatenate([x[0] for x in found])
+    step = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+    many = np.bincount(chunk, minlength=len(chunks))
+    ends = np.cumsum(many)
+    place = ends[chunk] - 1 - step
+    token, origin = np.empty(len(chunk), np.int64), np.empty(len(chunk), np.int64)
+    token[place] = np.concatenate([x[1] for x in found])
+    origin[place] = np.concatenate([x[2] for x in found])
+    odd = np.flatnonzero(token == _OTHER)
+    if len(odd):  # bytes stand for a character without a piece
+        size = np.ones(len(token), np.int64)
+        spelt = [chr(c).encode() for c in raw[origin[odd]].tolist()]
+        size[odd] = [len(x) for x in spelt]
+        to = np.cumsum(size) - size
+        token = np.repeat(token, size)
+        for i, x in zip(to[odd].tolist(), spelt, strict=True):
+            token[i : i + len(x)] = [v.byte[y] for y in x]
+        ends = (to + size)[ends - 1]
+    flat = token.astype("<u2").tobytes()
+    return [flat[2 * i : 2 * j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 class Encoder:
@@ -260,7 +289,7 @@ class Encoder:
             k = index[own]
             chunks = [data[a:b].decode("utf-8", "replace").replace(" ", BLANK) for a, b in zip(start[k].tolist(), end[k].tolist(), strict=True)]
             for i, ids in zip(own, encode_chunks(self.v, chunks), strict=True):
-                coded[i] = self.known.new[names[i]] = np.array(ids, np.uint16).tobytes()
+                coded[i] = self.known.new[names[i]] = ids
         each = inverse.tolist()
         bounds = np.searchsorted(start, first).tolist()
         return [b"".join([coded[k] for k in each[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -288,7 +317,7 @@ def _encode(path: str, carried: int, with_ids: bool):
         e = encoder(path)
         for b in batches:
             texts = as_bytes(b.column(carried))
-            for first, some in groups(texts, 2 << 20):
+            for first, some in groups(texts, 1 << 20):
                 ids = e.encode(some)
                 back = [e.decode(x) for x in ids]
                 same = [x == (t.replace(BLANK.encode(), b" ") if BLANK.encode() in t else t) for x, t in zip(back, some, strict=True)]
