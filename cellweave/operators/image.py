@@ -8,7 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import expand_labels, offsets, spread
@@ -26,7 +26,8 @@ class Segmenter(Protocol):
         """Integer labels, 0 for background."""
 
 
-def shift_rings(polygons: DataFrame, dx: float, dy: float) -> DataFrame:
+def shift_rings(polygons: DataFrame, dx: float | Column, dy: float | Column) -> DataFrame:
+    """Rings moved by numbers, or by columns of the polygon's row: a local ring to its cell's place, one sum a coordinate."""
     return polygons.withColumn("ring", F.transform("ring", lambda p: F.array(F.get(p, F.lit(0)) + dx, F.get(p, F.lit(1)) + dy)))
 
 

@@ -60,8 +60,8 @@ def _(v: Views):
 
 @query("c7_shifted_polygons", sql("points", "SELECT id AS cell_id, [[x + 10, y - 5], [x + 14, y - 5], [x + 14, y - 1], [x + 10, y - 5]] AS ring FROM points"))
 def _(v: Views):
-    ring = F.array(*[F.array(F.col("x") + a, F.col("y") + b) for a, b in ((0, 0), (4, 0), (4, 4), (0, 0))])
-    return I.shift_rings(v.points().select(F.col("id").alias("cell_id"), ring.alias("ring")), 10.0, -5.0)
+    ring = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in ((10.0, -5.0), (14.0, -5.0), (14.0, -1.0), (10.0, -5.0))])
+    return I.shift_rings(v.points().select(F.col("id").alias("cell_id"), ring.alias("ring"), "x", "y"), F.col("x"), F.col("y")).select("cell_id", "ring")
 
 
 @query("e20_polygon_fill")

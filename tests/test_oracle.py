@@ -79,6 +79,15 @@ def test_gene_filter_takes_all_cells(spark, tmp_path):
     assert got == {g: (8 + g, sum(1.0 + c for c in range(8 + g))) for g in range(4, 8)}
 
 
+def test_shifted_polygons_round_like_their_sql(spark, tmp_path):
+    rows = [(k, cents / 100, "BUILDING") for k, cents in enumerate([*range(-200, 200), *range(98000, 102600, 7)])] + [(5000, None, None), (5001, -0.0, "X")]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = dict(con.execute(ORACLE_SQL["c7_shifted_polygons"]).fetchall())
+    assert {r.cell_id: r.ring for r in QUERIES["c7_shifted_polygons"](spark, str(tmp_path)).collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__
 
