@@ -116,16 +116,13 @@ def may_link(a: str, b: str, size_a: str, size_b: str, percent: int) -> Column:
     return (odd * (100 + percent) <= sizes * (100 - percent)) & (agreement(a, b) >= least_agreement(percent))
 
 
-def first_table(a: str, b: str) -> Column:
-    """The first table in which two classes share a key: the first collection of either side that they share."""
-
-    def first(low: int) -> Column:
-        out = F.lit(SIDE)
-        for i in reversed(range(SIDE)):
-            out = F.when(F.get(a, F.lit(low + i)) == F.get(b, F.lit(low + i)), F.lit(i)).otherwise(out)
-        return out
-
-    return first(0) * SIDE + first(SIDE)
+def first_left(a: str, b: str) -> Column:
+    """The first left collection that two classes share, if they share a right one too, so that they meet in a table; else null."""
+    same = [F.get(a, F.lit(i)) == F.get(b, F.lit(i)) for i in range(2 * SIDE)]
+    out = F.lit(None).cast("int")
+    for i in reversed(range(SIDE)):
+        out = F.when(same[i], F.lit(i)).otherwise(out)
+    return F.when(functools.reduce(Column.__or__, same[SIDE:]), out)
 
 
 def _sketch(width: int):
@@ -219,10 +216,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, stages:
 
     No bucket is expanded into pairs.  The popularity of a class is the number of rows in its buckets: an original is
     more popular than its copies, which are farther from each other than from it.  First each class is compared with
-    the most popular class it shares a bucket with.  Then, as long as a bucket holds more than one component, its
-    members are compared with some of them chosen by hash, with more of them, and so on, unless they are of one
-    component or their sketches differ by too much: every pair of a bucket is in one component or was compared.
-    A pair that shares several buckets is made in the first one only.
+    the most popular class it shares a bucket with.  Then the buckets of the tables with one left collection are taken
+    as one, so that a class has SIDE rows and not SIDE * SIDE.  As long as such a bucket holds more than one component,
+    its members are compared with some of them chosen by hash, with more of them, and so on, unless they share no right
+    collection, are of one component or their sketches differ by too much: every pair that shares a table is in one
+    component or was compared.  A pair that shares several left collections is made in the first one only.
     """
     stages = stages or Stages(docs.sparkSession, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
@@ -250,13 +248,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, stages:
     sk = classes.select("cls", "size", "sk")
     far = pairs.join(sk.toDF("a", "n1", "s1"), "a").join(sk.toDF("b", "n2", "s2"), "b")
     # half a hash will do to tell that two classes share a collection: one pair in 1.8e8 would be lost
-    sk = classes.select("cls", "size", "sk", F.transform("hashes", lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")).alias("half"))
+    half = F.transform("hashes", lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int"))
+    sk = classes.select("cls", "size", "sk", half.alias("half"))
     pairs = far.where(may_link("s1", "s2", "n1", "n2", percent)).select("a", "b")
     # a member's turn is chosen by hash: about k of the n members of a bucket have one under k / n
-    turn = (F.shiftrightunsigned(F.xxhash64("cls", F.lit(percent)), 11) / float(1 << 53)).alias("turn")
-    comp, live, low, high = None, buckets, 0, HEADS
+    turn = F.shiftrightunsigned(F.xxhash64("cls", F.lit(percent)), 11) / float(1 << 53)
     pairs = [stages.save(pairs, "pairs")]
     stages.drop(popular)
+    # tables of one left collection are compared as one bucket: a row for each left collection, not for each table
+    met = buckets.select("cls", F.floor(F.col("t") / SIDE).cast("int").alias("i")).distinct().join(classes.select("cls", half.alias("half")), "cls")
+    met = stages.save(met.select("cls", "i", F.get("half", "i").alias("v")), "met")
+    sizes = met.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    live = stages.save(met.join(sizes.where("n > 1"), ["i", "v"]), "sharing")
+    stages.drop(met, buckets)
+    comp, low, high = None, 0, HEADS
     while True:
         found = verify(stages, functools.reduce(DataFrame.union, pairs), classes, docs, width, percent)
         # the components so far stand for the links that made them
@@ -264,20 +269,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, stages:
         after = stages.save(components(stages, found), "components")
         stages.drop(comp, *pairs)
         comp = after
-        named = live.select("key", "cls", "t", "n").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("n").alias("n")).where(f"x < y and n > {low}").select("key")
-        after = stages.save(named.join(mixed, "key", "left_semi"), "live")
+        named = live.select("i", "v", "cls", "n").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        mixed = named.groupBy("i", "v").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("n").alias("n")).where(f"x < y and n > {low}").select("i", "v")
+        # heads of the rounds before were compared with all others
+        after = stages.save(named.where(turn * F.col("n") >= low).join(mixed, ["i", "v"], "left_semi"), "live")
         stages.drop(live)
         live = after
         if live.isEmpty():
             break
         pairs = []
         for k in range(SLICES):
-            rows_ = live.where(F.col("t") % SLICES == k).join(sk, "cls").select("key", "cls", "t", "n", "component", "size", "sk", "half", turn)
-            heads = rows_.where(f"turn * n >= {low} and turn * n < {high}").select(F.col("key").alias("_k"), F.col("cls").alias("b"), F.col("turn").alias("at"), F.col("component").alias("of"), F.col("size").alias("n2"), F.col("sk").alias("s2"), F.col("half").alias("h2"))
+            rows_ = live.where(F.col("i") % SLICES == k).join(sk, "cls").select("i", "v", "cls", "n", "component", "size", "sk", "half", turn.alias("turn"))
+            heads = rows_.where(f"turn * n < {high}").select(F.col("i").alias("_i"), F.col("v").alias("_v"), F.col("cls").alias("b"), F.col("turn").alias("at"), F.col("component").alias("of"), F.col("size").alias("n2"), F.col("sk").alias("s2"), F.col("half").alias("h2"))
             later = (F.col("turn") > F.col("at")) | ((F.col("turn") == F.col("at")) & (F.col("cls") > F.col("b")))
-            near = later & (F.col("component") != F.col("of")) & may_link("sk", "s2", "size", "n2", percent) & (first_table("half", "h2") == F.col("t"))
-            pairs.append(stages.save(rows_.join(heads, (F.col("key") == F.col("_k")) & near).select(F.col("cls").alias("a"), "b"), "pairs"))
+            near = later & (F.col("component") != F.col("of")) & (first_left("half", "h2") == F.col("i")) & may_link("sk", "s2", "size", "n2", percent)
+            pairs.append(stages.save(rows_.join(heads, (F.col("i") == F.col("_i")) & (F.col("v") == F.col("_v")) & near).select(F.col("cls").alias("a"), "b"), "pairs"))
         low, high = high, WIDER * high
     # smallest doc_id of each component
     node = rows.select("doc_id", "text_hash", "n_shingles", "cls").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -320,6 +320,30 @@ def test_a_group_of_many_near_copies(spark, monkeypatch):
     assert got == collections.Counter(want) and 20 < len({c for _, _, c in want}) < 150
 
 
+def test_buckets_of_a_loose_group_take_few_rows(spark):
+    rng = random.Random(8)
+    base = [rng.choice("abcdefghij") + str(rng.randint(0, 999)) for _ in range(200)]
+    rows = []
+    for k in range(160):  # each shares about 0.7 with the first, 0.5 with the others
+        words = list(base)
+        for at in rng.sample(range(200), 12):
+            words[at] = f"x{k}.{at}"
+        rows.append((k, " ".join(words)))
+    seen = []
+
+    class Counting(Stages):
+        def save(self, df, name="t"):
+            out = super().save(df, name)
+            if name == "live":
+                seen.append(out.count())
+            return out
+
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in tensor_minhash.near_duplicates(table, 3, 85, Counting(spark, "counting")).collect())
+    assert got == collections.Counter(jaccard_classes(rows, 3, 85))
+    assert seen[0] > 160 and max(seen) <= tensor_minhash.SIDE * len(rows)
+
+
 def test_one_document_of_a_group_stays(docs, none, rows):
     kept = tensor_minhash.deduplicate(docs, width=3, percent=85)
     assert kept.columns == docs.columns
