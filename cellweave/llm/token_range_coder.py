@@ -14,23 +14,33 @@ Model of one id: the order-2 and order-1 contexts (the ids before it) each predi
 confidences, and whether the predictions agree, choose an adaptive mixture of three cases: the order-2 prediction
 holds, the order-1 prediction holds, or neither.  In the last case order 0 codes the id by four adaptive nibbles, each
 under those before it.
+
+``compress``, ``expand``, ``pack`` and ``unpack`` say the format and read and write it anywhere; in Spark the classes of
+``TokenCoder.java`` do the same on the executors, to the byte, and the tokenizer gets each distinct piece of a group.
 """
 
 from __future__ import annotations
 
+import atexit
+import json
+import os
+import shutil
 import struct
+import tempfile
+import zipfile
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from py4j.java_gateway import JavaObject
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Stages
-from .textkernel import Remembered, as_bytes, groups, prefix_hash, span_hash
+from .textkernel import SEP, Remembered
 
 BLOCK = 4096
 #: Ids after which a segment ends at the next document's end.
@@ -41,8 +51,10 @@ SLOT_BITS = 11
 SURE = 7
 #: Increments and limits of the mixture's and the nibbles' frequencies.
 MIX_STEP, MIX_LIMIT, NIBBLE_STEP, NIBBLE_LIMIT = 24, 4096, 24, 2040
-#: Chunks of one generation that a worker remembers.
-REMEMBER = 500_000
+#: Bytes of texts whose pieces are told apart at once.
+GROUP = 8 << 20
+#: Pieces of one generation that a worker remembers, bytes of the longest, and pieces that the tokenizer gets as one text.
+REMEMBER, LONGEST, JOINED = 700_000, 256, 512
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
 _U = np.uint64
 
@@ -332,10 +344,12 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 class Tokens:
-    """Encodes whole texts with a byte-level BPE tokenizer, each distinct chunk once.
+    """Encodes pieces of texts with a byte-level BPE tokenizer, each distinct one once as long as it is remembered.
 
-    The tokenizer's pattern never joins a white-space character to a visible one before it, so a text may be cut
-    before white space that follows an ASCII character or a two-byte letter, and the ids of the chunks are the text's.
+    The tokenizer's pattern never joins a white-space character to a visible one before it, nor a letter to a mark or
+    digit behind it, so ``TokenCoder`` cuts texts before white space that follows an ASCII character or a two-byte
+    letter, and before ASCII marks and digits that follow a Latin letter; the ids of the pieces are the text's.  A text
+    that holds an added token is one piece.
     """
 
     def __init__(self, path: str):
@@ -343,34 +357,48 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known = Remembered(REMEMBER)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text."""
-        data = b"".join(texts)
-        if not data:
-            return [b""] * len(texts)
-        buf = np.frombuffer(data, np.uint8)
-        space = (buf == 0x20) | ((buf >= 9) & (buf <= 13))
-        cut = np.zeros(len(buf), bool)
-        cut[1:] = space[1:] & (buf[:-1] > 0x20) & (buf[:-1] < 0x7F)
-        cut[2:] |= space[2:] & (buf[1:-1] >= 0x80) & (buf[:-2] >= 0xC3) & (buf[:-2] <= 0xDF)
-        first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        cut[first[:-1][first[:-1] < len(data)]] = True
-        start = np.flatnonzero(cut)
-        end = np.append(start[1:], len(data))
-        uniq, index, inverse = np.unique(span_hash(prefix_hash(buf), start, end), return_index=True, return_inverse=True)
-        names = uniq.tolist()
-        coded = self.known.find(names)
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes = np.zeros(1 << 16, np.int64)  # a character of a name is a byte of the text
+        self.bytes[list(names.values())] = np.fromiter(map(len, names), np.int64, len(names))
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Little-endian 16-bit ids of each piece."""
+        coded = self.known.find(pieces)
         new = [i for i, v in enumerate(coded) if v is None]
-        where = index[new]
-        for lo in range(0, len(new), 20_000):
-            own = where[lo : lo + 20_000]
-            chunks = [data[a:b].decode("utf-8", "replace") for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)]
-            for i, e in zip(new[lo : lo + 20_000], self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-                coded[i] = self.known.new[names[i]] = np.array(e.ids, "<u2").tobytes()
-        each = inverse.tolist()
-        bounds = np.searchsorted(start, first).tolist()
-        return [b"".join([coded[k] for k in each[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for lo in range(0, len(new), 100_000):
+            rows = new[lo : lo + 100_000]
+            for i, ids in zip(rows, self._encode([pieces[i] for i in rows]), strict=True):
+                coded[i] = ids
+                if len(pieces[i]) <= LONGEST:
+                    self.known.new[pieces[i]] = ids
+        return coded
+
+    def _encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Pieces that may stand behind each other, as the pattern parts them, are encoded JOINED at a time."""
+        out: list[bytes | None] = [None] * len(pieces)
+        if not any(SEP[list(a)].any() for a in self.added):
+            rows = [i for i, p in enumerate(pieces) if p[0] == 0x20 and 0x20 < p[-1] < 0x7F and not any(a in p for a in self.added)]
+            runs = [rows[k : k + JOINED] for k in range(0, len(rows), JOINED)]
+            joined = [b"".join([pieces[i] for i in run]) for run in runs]
+            for run, e in zip(runs, self._batch(joined), strict=True):
+                ids = np.array(e, np.uint16)
+                cut = np.cumsum([len(pieces[i]) for i in run])
+                ends = np.cumsum(self.bytes[ids])
+                at = np.searchsorted(ends, cut)
+                if at[-1] == len(ends) - 1 and (ends[at] == cut).all():  # else not as expected: each by itself
+                    raw, at = ids.astype("<u2").tobytes(), (2 * (at + 1)).tolist()
+                    for i, a, b in zip(run, [0, *at], at):
+                        out[i] = raw[a:b]
+        rest = [i for i, v in enumerate(out) if v is None]
+        for i, e in zip(rest, self._batch([pieces[i] for i in rest]), strict=True):
+            out[i] = np.array(e, "<u2").tobytes()
+        return out
+
+    def _batch(self, texts: list[bytes]) -> Iterator[list[int]]:
+        for lo in range(0, len(texts), 20_000):
+            for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts[lo : lo + 20_000]], add_special_tokens=False):
+                yield e.ids
 
 
 @lru_cache(maxsize=2)
@@ -384,48 +412,56 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _write(path: str, end: int, segment: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+@lru_cache(maxsize=2)
+def added_tokens(path: str) -> tuple[str, ...]:
+    with open(path, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f).get("added_tokens") or ())
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder, part = tokens(path), TaskContext.get().partitionId()
-        names, sizes, held, waiting, start, seq = [], [], [], 0, 0, 0
-        mark = np.array([end], "<u2").tobytes()
-
-        def give():
-            nonlocal names, sizes, held, waiting, start, seq
-            ids = np.frombuffer(b"".join(held), "<u2").astype(np.int64)
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start], pa.int64()), pa.array([waiting], pa.int64()), pa.array([pack(names, sizes, ids)], pa.binary())], ["part", "seq", "start", "ids", "data"])
-            start, seq = start + waiting, seq + 1
-            names, sizes, held, waiting = [], [], [], 0
-            return row
 
-        for b in batches:
-            doc_ids = b.column(0).to_pylist()
-            for first, some in groups(as_bytes(b.column(1)), 1 << 20):
-                for k, ids in enumerate(coder.encode(some)):
-                    names.append(doc_ids[first + k])
-                    sizes.append(len(ids) // 2 + 1)
-                    held += (ids, mark)
-                    waiting += sizes[-1]
-                    if waiting >= segment:
-                        yield give()
-        if names:
-            yield give()
+_coders: dict[str, JavaObject] = {}
+
+
+def coder(spark: SparkSession) -> JavaObject:
+    """A ``TokenCoder``, compiled by the Janino that Spark brings, its classes sent to the executors; once in an application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _coders:
+        jvm = spark._jvm
+        compiler = jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.setParentClassLoader(jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        compiler.cook((Path(__file__).parent / "TokenCoder.java").read_text("utf-8"))
+        folder = tempfile.mkdtemp(prefix="cellweave-coder-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        jar = f"{folder}/cellweave-token-coder.jar"
+        classes = compiler.getBytecodes()
+        with zipfile.ZipFile(jar, "w") as z:
+            for name in classes:
+                z.writestr(name.replace(".", "/") + ".class", bytes(classes[name]))
+        sc._jsc.addJar(jar)
+        made = compiler.getClassLoader().loadClass("cellweave.TokenCoder").getConstructors()[0]
+        _coders[sc.applicationId] = made.newInstance(sc._gateway.new_array(jvm.Object, 0))
+    return _coders[sc.applicationId]
 
-    return run
 
+def _partitions(df: DataFrame, function: JavaObject, schema: str) -> DataFrame:
+    """``df`` with the JVM's ``function`` over its partitions."""
+    sql = df.sparkSession._jvm.org.apache.spark.sql
+    out = sql.types.StructType.fromDDL(schema)
+    return DataFrame(df._jdf.mapPartitions(function, sql.Encoders.row(out)), df.sparkSession)
+
+
+def _encode(path: str):
+    """Groups of pieces to groups of their ids."""
 
-def _read(offsets: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        own = tokens(path)
         for b in batches:
-            for part, start, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                names, sizes, ids = unpack(data.as_py())
-                raw = ids.astype("<u4").tobytes()
-                ends = np.cumsum(sizes)
-                crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ends - sizes + start + offsets[part]), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            for k in range(b.num_rows):
+                ends, data = (b.column(i)[k].as_buffer() for i in (4, 5))
+                coded = own.encode(pa.Array.from_buffers(pa.binary(), ends.size // 4 - 1, [None, ends, data]).to_pylist())
+                sizes = np.fromiter(map(len, coded), np.int32, len(coded)) // 2
+                new = [pa.array([b"".join(coded)], pa.binary()), pa.array([sizes.astype("<i4").tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(i).slice(k, 1) for i in range(4)] + new, ["names", "none", "counts", "index", "ids", "sizes"])
 
     return run
 
@@ -437,21 +473,30 @@ def write_ids(docs: DataFrame, path: str | None = None, end: int = 0, segment: i
     ``start`` counts the ids before the segment within its part.  A null text has the end id alone.  The files are a
     Parquet table in the new folder ``to``, to be kept, or else a stage's, which goes with the session.
     """
-    stages = stages or Stages(docs.sparkSession, "ids")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    spark = docs.sparkSession
+    stages = stages or Stages(spark, "ids")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    path = path or default_tokenizer()
+    added = spark._jvm.java.util.ArrayList()
+    for token in added_tokens(path):
+        added.add(token)
+    java = coder(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    files = rows.mapInArrow(_write(path or default_tokenizer(), end, segment), "part int, seq int, start long, ids long, data binary")
+    rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"))
+    groups = _partitions(rows, java.split(GROUP, added), "names binary, none binary, counts binary, index binary, ends binary, pieces binary")
+    coded = groups.mapInArrow(_encode(path), "names binary, none binary, counts binary, index binary, ids binary, sizes binary")
+    files = _partitions(coded, java.code(BLOCK, end, segment), "part int, seq int, start long, ids long, data binary")
     if to is None:
         return stages.save(files, "ids")
     files.write.parquet(to)
-    return docs.sparkSession.read.parquet(to)
+    return spark.read.parquet(to)
 
 
 def read_ids(files: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in the files of ``write_ids``; damaged blocks raise."""
     sizes = files.groupBy("part").agg(F.sum("ids").alias("ids")).orderBy("part").collect()  # a row per part
-    offsets, total = {}, 0
+    offsets, total = files.sparkSession._jvm.java.util.HashMap(), 0
     for r in sizes:
         offsets[r.part] = total
         total += r.ids
-    return files.select("part", "start", "data").mapInArrow(_read(offsets), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _partitions(files.select("part", "start", "data"), coder(files.sparkSession).read(offsets), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -132,6 +133,46 @@ def test_ids_are_the_tokenizers(spark, docs, none, rows, tmp_path):
     assert sorted((tuple(r) for r in token_range_coder.read_ids(spark.read.parquet(str(tmp_path / "ids"))).collect()), key=lambda r: r[1]) == want
 
 
+def test_executors_code_as_the_format_says_and_faster(spark):
+    java, rng = token_range_coder.coder(spark), np.random.default_rng(2)
+    for n, k in ((1, 1), (700, 9), (4096, 65536), (4096, 2), (4000, 40)):
+        ids = rng.integers(0, k, n)
+        part = token_range_coder.compress(ids)[0]
+        raw = ids.astype("<u2").tobytes()
+        assert bytes(java.compressBlock(raw)) == part and bytes(java.expandBlock(part, n)) == raw
+    ids = (rng.pareto(0.7, 1 << 19) * 50).astype(np.int64) % 50257
+    raw, took = ids.astype("<u2").tobytes(), []
+    for _ in range(3):
+        began = time.perf_counter()
+        assert bytes(java.expandBlock(java.compressBlock(raw), len(ids))) == raw
+        took.append(time.perf_counter() - began)
+    began = time.perf_counter()
+    assert (token_range_coder.expand(token_range_coder.compress(ids), len(ids)) == ids).all()
+    assert 3 * min(took) < time.perf_counter() - began
+
+
+def test_pieces_give_the_ids_of_whole_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(token_range_coder.default_tokenizer()), random.Random(5)
+    alphabet = ["a", "Zq", "the", "é", "ß", "×", "÷", "ñ", "ª", "Ж", "日", "\u0301", "'", "'s", "'ll", "'re", "1", "42", "²", ".", ",", "(", "|", "<", ">", "_", "-", " ", " ", "  ", "\n", "\t", "\x0b", "\u00a0", "\u0085", "\u3000", "\x00", "\x7f", "🙂", "<|endoftext|>", "endoftext", "<|"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["don't, I'll", "x" * 3000 + "," * 3000, " <|endoftext|> a", "a<|endoftext|>b, c", None, ""]
+    files = token_range_coder.write_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), segment=9000, to=str(tmp_path / "ids"))
+    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+    got = {}
+    for r in files.collect():
+        names, sizes, ids = token_range_coder.unpack(bytes(r.data))
+        got |= {i: ids[e - n : e].tolist() for i, n, e in zip(names, sizes, np.cumsum(sizes), strict=True)}
+    assert got == want
+    crc = {r.doc_id: r.ids_crc32 for r in token_range_coder.read_ids(files).collect()}
+    assert crc == {i: zlib.crc32(np.array(x, "<u4").tobytes()) for i, x in want.items()}
+    r = files.first()
+    damaged = bytearray(r.data)
+    damaged[-3] ^= 1
+    with pytest.raises(Exception, match="is damaged"):
+        token_range_coder.read_ids(spark.createDataFrame([(r.part, r.seq, r.start, r.ids, damaged)], files.schema)).collect()
+
+
 # 2
 
 
