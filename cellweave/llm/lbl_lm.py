@@ -125,7 +125,7 @@ class Model:
         """Natural log probability of each token, the rest class as one word."""
         side = self.side
         h = tables[0][w1] + tables[1][w2]
-        s = h @ self.A.T + self.a
+        s = _times(h, self.A.T) + self.a
         c = w // side
         out = s[np.arange(len(w)), c] - _log_sum(s)
         order = np.argsort(c, kind="stable")
@@ -133,11 +133,16 @@ class Model:
         for k in range(side):
             idx = order[edge[k] : edge[k + 1]]
             if len(idx):
-                t = h[idx] @ self.Q[k * side : (k + 1) * side].T + self.b[k * side : (k + 1) * side]
+                t = _times(h[idx], self.Q[k * side : (k + 1) * side].T) + self.b[k * side : (k + 1) * side]
                 out[idx] += t[np.arange(len(idx)), w[idx] - k * side] - _log_sum(t)
         return out.astype(np.float64)
 
 
+def _times(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``h @ x`` by way of double precision: in single, a row's product is rounded by its place and the number of rows."""
+    return (h.astype(np.float64) @ x.astype(np.float64)).astype(np.float32)
+
+
 def _log_sum(s: np.ndarray) -> np.ndarray:
     """Logarithm of each row's sum of exponentials; overwrites ``s``."""
     top = s.max(axis=1)

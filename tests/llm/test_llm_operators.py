@@ -498,6 +498,20 @@ def test_language_model_beats_its_base_alike_for_any_partitions(spark, monkeypat
     assert all(again[i] == pytest.approx(r.score, abs=1e-6) for i, r in got.items())
 
 
+def test_a_tokens_score_is_the_same_in_any_batch():
+    rng = np.random.default_rng(4)
+    v = lbl_lm.Vocabulary.of(np.arange(4000, dtype=np.uint64), rng.integers(1, 900, 4000), 2_000_000, 4000)
+    m = lbl_lm.Model(v)
+    m.A, m.Q = (rng.standard_normal(x.shape).astype(np.float32) for x in (m.A, m.Q))
+    w1, w2, w = rng.integers(0, 2 * v.known, 5000), rng.integers(0, 2 * v.known, 5000), rng.integers(0, v.known + 1, 5000)
+    tables = m.tables()
+    whole = m.log_prob(w1, w2, w, tables)
+    for size in (1, 7, 33, 1000):
+        at = slice(40, 40 + 3 * size)
+        some = [m.log_prob(w1[i : i + size], w2[i : i + size], w[i : i + size], tables) for i in range(40, 40 + 3 * size, size)]
+        assert np.abs(np.concatenate(some) - whole[at]).max() < 1e-8
+
+
 @pytest.mark.parametrize("head", [2, 100])
 def test_language_model_has_a_head_at_any_level(docs, monkeypatch, head):
     monkeypatch.setattr(lbl_lm, "HEAD", head)
