@@ -63,7 +63,7 @@ def _(v: Views):
     a, out = kind(v, "BUILDING"), None
     others = v.points().where("subtype <> 'BUILDING'")
     for k in range(3):
-        d = P.nearest(a, others.where(F.col("id") % 3 == k), 400.0)
+        d = P.nearest_distance(a, others.where(F.col("id") % 3 == k), 400.0)
         row = d.agg(F.lit(k).alias("perm"), F.round(F.median("distance"), 6).alias("median_nn"), F.round(F.avg((F.col("distance") <= 150).cast("int")), 6).alias("contact"))
         out = row if out is None else out.union(row)
     return out

@@ -106,6 +106,27 @@ def test_nearest_meets_few_places(spark):
     assert set(got) == set(want) and all(got[i][0] == j and got[i][1] == pytest.approx(math.sqrt(d)) for i, (d, j) in want.items())
 
 
+def executed(df):
+    """Rows, and the plan as it ran at last."""
+    rows = df.collect()
+    return rows, df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_sends_no_exploded_rows_to_the_driver(spark):
+    rng = random.Random(8)
+    b = [(i, float(i % 20 - 10), float(i // 20 % 20 - 10)) for i in range(400)] + [(400, 300.0, -250.0), (401, 300.0, -250.0)]
+    a = [(i, rng.randint(-30, 30) / 2, rng.randint(-30, 30) / 2) for i in range(60)]  # ties of two and four places, both sides of 0
+    a += [(60 + i, rng.uniform(-400, 400), rng.uniform(-400, 400)) for i in range(20)] + [(80, 1.0, None)]
+    A, B = (spark.createDataFrame(x, "id long, x double, y double") for x in (a, b))
+    rows, plan = executed(P.nearest(A, B, 5.0))
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan  # sides of joins were broadcast by their size before 9, 49 or more steps
+    want = {i: min(((x - p) ** 2 + (y - q) ** 2, k) for k, p, q in b) for i, x, y in a[:-1]}
+    assert {r.id: r.near for r in rows} == {i: k for i, (_, k) in want.items()}
+    assert all(r.distance == pytest.approx(math.sqrt(want[r.id][0])) for r in rows)
+    one = spark.createDataFrame([(7, 2.0, 3.0)], "id long, x double, y double")
+    assert {r.near for r in P.nearest(A, one, 5.0).collect()} == {7} and P.nearest(A, one.limit(0), 5.0).count() == 0 == P.nearest(A.limit(0), B, 5.0).count()
+
+
 def test_neighbourhoods_of_crowded_places(spark):
     n = 60_000  # n * n pairs of points, but few of places
     points = spark.range(4 * n).select("id", (F.col("id") % 4 % 3).cast("double").alias("x"), F.lit(0.0).alias("y"), F.element_at(F.array(*map(F.lit, "abca")), (F.col("id") % 4 + 1).cast("int")).alias("subtype"))
