@@ -361,6 +361,16 @@ def test_outlines_at_half_height():
     assert len(ring) == 9 and set(ring) == {(-0.5, 0), (0, 0.5), (0.5, 1), (1, 1.5), (1.5, 1), (1.5, 0), (1, -0.5), (0, -0.5)}
 
 
+def test_draws_are_not_sent_to_the_driver(spark):
+    rng = random.Random(9)
+    a, b = ([(i, rng.uniform(-50, 50), rng.uniform(-50, 50)) for i in range(n)] for n in (20, 30))
+    A, B = (spark.createDataFrame(x, "id long, x double, y double") for x in (a, b))
+    rows, plan = executed(P.random_nearest(A, B, 10.0, 4, 3.0, seed=7))
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan  # the draws were broadcast by the size of the points before
+    own = {r.perm: r.median for r in rows}
+    assert set(own) == {-1, 0, 1, 2, 3} and own[-1] == pytest.approx(np.median([min(math.hypot(x - p, y - q) for _, p, q in b) for _, x, y in a]))
+
+
 def test_randomness_against_loops(spark):
     rng = random.Random(5)
     b = [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(40)]
